@@ -118,7 +118,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def per_batch(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 256) -> DataFrame:
+def per_batch(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, rows: int = 256) -> DataFrame:
     """``mapInArrow`` over slices of ``rows`` rows. ``work()`` is called once a task and returns what handles a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
 
 
+def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The records of ``df``, all columns, each as often as the block of its first word is chosen.
+
+    Records that agree in id, source and size share their copies out evenly, rounded up.
+    """
+    keys = ["_k1", "_k2", "_k3"]
+    chosen = mix(df, id_col, text_col, source_col, seed).groupBy(F.col("doc_id").alias("_k1"), F.col("source").alias("_k2"), F.col("size").alias("_k3")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_rec"), F.col(id_col).alias("_d1"), F.col(source_col).alias("_d2"), F.size(words(F.col(text_col))).cast("long").alias("_d3"))
+    same = [F.col(f"_d{k[-1]}").eqNullSafe(F.col(k)) for k in keys]
+    return rows.join(chosen, same).select("_rec", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("_rec.*")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 

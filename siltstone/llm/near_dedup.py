@@ -265,6 +265,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked_rows.union(bare)
 
 
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The records of ``df``, all columns, of which exactly one of each component stays: that of the smallest id."""
+    names = df.columns
+    rows = table(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rec"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")).select("row", "doc", "rec"), "whole")
+    gone = near_duplicates(rows.select("row", "doc", F.col("rec").getField(text_col).alias("text")), "doc", "text", "row").where("not stays").select("row")
+    return rows.join(gone, "row", "left_anti").select("rec.*")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -205,6 +205,23 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (split_number(F.col("doc_id"), PARTS) == OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), own.alias("lang_threshold"), (F.col("score") >= own).alias("lang_flag"))
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, in one pass without a shuffle."""
+    model, _ = fit(docs, labels)
+    at = docs.columns.index("text")
+
+    def work():
+        words = WordRows()
+
+        def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
+            good = [not model or model.score(words.of(t)) < CUT for t in raw_texts(batch.column(at))]
+            return batch.filter(pa.array(good, pa.bool_()))
+
+        return handle
+
+    return per_batch(docs, work, docs.schema, 512)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity(docs, labels)
