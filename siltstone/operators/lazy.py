@@ -117,7 +117,7 @@ class CollectionPromise:
         rows = self.ordered().collect()
         if self._count is not None and len(rows) != self._count:
             raise StoreFormatError(f"{len(rows)} items, the manifest has {self._count}")
-        return [r[VALUE] if self.spec is None and VALUE in self.df.columns else r.asDict(True) for r in rows]
+        return [r[VALUE] if self.spec is None and VALUE in self.df.columns else {k: v for k, v in r.asDict(True).items() if k != POS} for r in rows]
 
     def get(self, i: int) -> Any:
         """The item at a position; raises where there is none."""

@@ -274,7 +274,7 @@ class Store:
 
         if "schema" not in node:
             return self.spark.read.parquet(f"{self.path}/{node['path']}")
-        schema = T.StructType.fromJson(json.loads(node["schema"])).add(SHARD if node["kind"] == VECTOR else BUCKET, "int")
+        schema = T.StructType.fromJson(json.loads(node["schema"])).add(SHARD if node["kind"] == VECTOR else BUCKET, T.IntegerType())
         return self.spark.read.schema(schema).parquet(f"{self.path}/{node['path']}") if node["item_count"] else self.spark.createDataFrame([], schema)
 
     def root(self) -> RecordMirror:
