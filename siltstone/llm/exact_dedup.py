@@ -28,7 +28,8 @@ def digest(text: Column) -> Column:
 def frequent(df: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
     """At most ``slots`` values of ``key``, all that hold more than rows / slots * a small factor among them."""
     parts = df.groupBy((F.spark_partition_id() % 64).alias("_part")).agg(F.expr(f"approx_top_k_accumulate({key}, {slots * 2})").alias("_sketch"))
-    merged = parts.agg(F.expr(f"approx_top_k_combine(_sketch, {slots * 2})").alias("_sketch"))
+    # grouped by a constant: a task without rows then has no sketch to merge, which the function can't serialise
+    merged = parts.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_combine(_sketch, {slots * 2})").alias("_sketch"))
     # the second count is an upper bound: keys met once or twice are no candidates
     found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {slots})")).alias("_top"))
     return found.where("_top.count > 1").select(F.col("_top.item").alias(key))
