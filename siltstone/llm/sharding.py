@@ -25,6 +25,7 @@ from .common import checkpoint
 SEED = 7
 #: Rows of a bucket: with records of a kilobyte, 64 MB. No more buckets than this are made; they are then larger.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 65_536, 256, 1 << 20
+BUCKETS_A_TASK = 8
 
 
 def scatter(rows: DataFrame, identity: list[str], n_rows: int, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
@@ -40,9 +41,9 @@ def permute(scattered: DataFrame, buckets: int, seed: int = SEED) -> DataFrame:
     sizes = checkpoint(scattered.groupBy("_bucket").agg(F.count("*").alias("_n")))
     # one row per bucket, MOST_BUCKETS at most
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    width = max(1, min(buckets, int(scattered.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    width = max(1, buckets // BUCKETS_A_TASK)  # from the number of rows alone: permutations don't depend on the cluster
     full = scattered.repartition(width, "_bucket").groupBy("_bucket").agg(F.array_sort(F.collect_list(record)).alias("_all"))
-    # a bucket's permutation depends on the seed and its own sorted records: keys drawn by hashing, then Fisher-Yates
+    # Spark's Fisher-Yates draws from the seed and the partition's number, a bucket of a partition after the other
     mixed = full.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_all", F.lit(seed)).alias("_all"))
     each = mixed.join(F.broadcast(offsets), "_bucket").select("_offset", F.posexplode("_all").alias("_i", "_rec"))
     return each.select("_rec.*", (F.col("_offset") + F.col("_i")).alias("_place")).drop("_hash")
