@@ -95,7 +95,8 @@ def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: the base counts, base_failed, llr (per word or pair) and kept."""
     llr = F.lit(ratios(docs, labels))
-    rows = docs.select("doc_id", word_hashes(F.col("text")).alias("_h"), *[c.alias(k) for k, c in features(F.col("text")).items()])
+    # a generator of one row: filters on the result don't pass it, so the hashes are never written out in their place
+    rows = docs.select("doc_id", F.explode(F.array(word_hashes(F.col("text")))).alias("_h"), *[c.alias(k) for k, c in features(F.col("text")).items()])
     n = F.size("_h").cast("long")
     total = F.aggregate(cells(F.col("_h")), F.lit(0.0), lambda acc, c: acc + F.get(llr, c))
     rows = rows.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat_words(F.col("_h")).alias("n_repeat_words"), F.when(n > 0, F.round(total / (2 * n - 1), 9)).otherwise(0.0).alias("llr"))
