@@ -13,8 +13,10 @@ link is confirmed on the full sets: 100 * intersection >= 80 * union. It goes in
 
 1. Each small node gives a spanning forest of its candidates, each large one a star from its smallest record. The
    confirmed links merge records into groups. A large family of near copies so costs links in proportion to its size.
-2. Nodes whose records are all in one group are done. In others all candidates from different groups are compared;
-   large nodes branch on, and what is still large at ``DEPTH`` is compared exhaustively in blocks.
+2. Nodes whose records are all in one group are done. In other small ones all candidates from different groups are
+   compared. Large ones branch on, but for those that hold more than half of their parent: their records are alike on
+   the whole, would go on together, and are compared exhaustively, on full sets, in blocks of ``BLOCK`` records. So is
+   what is below ``BLOCK`` records or at ``DEPTH``.
 
 So every candidate pair is either confirmed or refuted on full sets, or lies within a group already. Groups are joined
 by min-label propagation with pointer jumping, in the cluster; nothing but counts reaches the driver.
@@ -41,6 +43,7 @@ from .exact_dedup import decide
 SHINGLE = 4
 SIMILAR = 80  # per cent
 TOKENS, BRANCH, TREES, LEAF, DEPTH = 64, 2, 4, 64, 4
+BLOCK, WHOLE = 512, 4096  # records compared at once in a large node; shingles of a text that is decided there
 AGREE = 36
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -86,11 +89,12 @@ def _profile():
 
 
 def children(nodes: DataFrame) -> DataFrame:
-    """(node, rec) of the next level from (node, rec, sig)."""
+    """(node, rec) of the next level from (node, rec, sig), and the parent's size ``_p`` where it is given."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")
     step = (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)) + 1).cast("int")
-    each = nodes.select("node", "rec", "sig", F.explode(F.array(*[((first + step * j) % TOKENS) for j in range(BRANCH)])).alias("_i"))
-    return each.select(F.xxhash64("node", "_i", F.get("sig", F.col("_i"))).alias("node"), "rec").distinct()
+    more = [c for c in nodes.columns if c == "_p"]
+    each = nodes.select("node", "rec", "sig", *more, F.explode(F.array(*[((first + step * j) % TOKENS) for j in range(BRANCH)])).alias("_i"))
+    return each.select(F.xxhash64("node", "_i", F.get("sig", F.col("_i"))).alias("node"), "rec", *more).distinct()
 
 
 def _agree(a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +147,71 @@ def _compare(forest: bool):
     return lambda: handle
 
 
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sets: products of 0/1 matrices over the shingles that two sets or more hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    shared = held[column] > 1
+    owner, column = owner[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int((held > 1).sum()), columns):
+        lo, hi = np.searchsorted(column, [start, start + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        both += part @ part.T
+    return both
+
+
+def _settle():
+    """Links between the groups of a large node.
+
+    Pairs whose texts are both at hand are decided on full sets, and of the links just enough are put out to join the
+    groups that they join: they grow with the groups, not with pairs. Other candidates are all put out.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
+
+    def node(members: pa.StructArray, out: list[tuple[int, int]]) -> None:
+        rec, size = members.field("rec").to_numpy(), members.field("n").to_numpy()
+        names, group = np.unique(members.field("grp").to_numpy(), return_inverse=True)
+        z = members.field("z")
+        has = np.array(z.is_valid().to_pylist())
+        if not has.all():
+            i, j, _ = _agree(members.field("sig").flatten().to_numpy().reshape(-1, TOKENS), size)
+            open_ = (group[i] != group[j]) & ~(has[i] & has[j])
+            out += zip(np.minimum(rec[i], rec[j])[open_].tolist(), np.maximum(rec[i], rec[j])[open_].tolist(), strict=True)
+        k = np.nonzero(has)[0]
+        if len(k) < 2:
+            return
+        both, n = overlaps([shingle_set(unpack.decompress(z[int(x)].as_py()).split(), hashes) for x in k]), size[k].astype(np.float32)
+        alike = np.triu((100 + SIMILAR) * both >= SIMILAR * np.add.outer(n, n), 1) & (group[k][:, None] != group[k])
+        i, j = (k[x] for x in np.nonzero(alike))
+        _, first = np.unique(np.minimum(group[i], group[j]) * len(names) + np.maximum(group[i], group[j]), return_index=True)
+        top = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            g, h = find(int(group[x])), find(int(group[y]))
+            if g != h:
+                top[g] = h
+                out.append((int(min(rec[x], rec[y])), int(max(rec[x], rec[y]))))
+
+    def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple[int, int]] = []
+        for k in range(batch.num_rows):
+            node(batch.column("members")[k].values, out)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return handle
+
+
 def _confirm():
     """Keeps the pairs whose full sets are similar enough."""
     hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
@@ -196,8 +265,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _members(rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.groupBy(*key).agg(F.collect_list(F.struct("rec", "n", "grp", "sig")).alias("members")).select("members")
+def _members(rows: DataFrame, key: list[str], *more: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.collect_list(F.struct("rec", "n", "grp", "sig", *more)).alias("members")).select("members")
 
 
 def linked(records: DataFrame, texts: DataFrame) -> DataFrame:
@@ -221,20 +290,25 @@ def linked(records: DataFrame, texts: DataFrame) -> DataFrame:
         mixed = checkpoint(with_group.groupBy("node").agg(F.min("grp").alias("_g"), F.max("grp").alias("_h"), F.count("*").alias("_n")).where("_g < _h"))
         return table(with_group.drop("_n", "_pivot").join(mixed.select("node", "_n"), "node"), "mixed")
 
-    pairs, nodes = None, grouped(nodes)
+    pairs, large, nodes = None, None, grouped(nodes.withColumn("_p", F.lit(1 << 62)))
     for depth in range(1, DEPTH + 1):
         found = per_batch(_members(nodes.where(F.col("_n") <= LEAF), ["node"]), _compare(False), "a long, b long", 128)
-        big = nodes.where(F.col("_n") > LEAF)
-        more = not big.isEmpty()
-        if more and depth == DEPTH:
-            blocks = F.ceil(F.col("_n") / (LEAF // 2)).cast("int")
-            cut = big.withColumn("_b", F.pmod(F.xxhash64("rec"), blocks).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            met = _members(cut.withColumns({"_lo": F.least("_b", "_c"), "_hi": F.greatest("_b", "_c")}), ["node", "_lo", "_hi"])
-            found = found.union(per_batch(met, _compare(False), "a long, b long", 16))
         pairs = found if pairs is None else pairs.union(found)
-        if not more or depth == DEPTH:
+        tight = (F.col("_n") <= BLOCK) | (2 * F.col("_n") > F.col("_p")) | F.lit(depth == DEPTH)
+        big = nodes.where(F.col("_n") > LEAF)
+        blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+        cut = big.where(tight).withColumn("_b", F.pmod(F.xxhash64("rec"), blocks).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cut = cut.select("node", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), "rec", "n", "grp", "sig")
+        large = cut if large is None else large.union(cut)
+        loose = big.where(~tight)
+        if depth == DEPTH or loose.isEmpty():
             break
-        nodes = grouped(children(big.select("node", "rec", "sig")).join(records, "rec"))
+        nodes = grouped(children(loose.select("node", "rec", "sig", F.col("_n").alias("_p"))).join(records, "rec"))
+    large = table(large, "large")
+    if not large.isEmpty():
+        wanted = large.where(F.col("n") <= WHOLE).select("rec").distinct()
+        some = table(texts.join(wanted, "rec", "left_semi"), "some")
+        pairs = pairs.union(per_batch(_members(large.join(some, "rec", "left"), ["node", "_lo", "_hi"], "z"), _settle, "a long, b long", 4))
     again = confirm(pairs, texts)
     if again.isEmpty():
         return groups
