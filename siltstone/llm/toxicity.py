@@ -219,7 +219,9 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return handle
 
-    return per_batch(docs, work, docs.schema, 512)
+    # columns go by number: names may hold dots or be the same but for case
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return per_batch(plain, work, plain.schema, 512).toDF(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
