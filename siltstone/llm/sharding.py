@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpoint
+from .common import checkpoint, table
 
 SEED = 7
 #: Rows of a bucket: with records of a kilobyte, 64 MB. No more buckets than this are made; they are then larger.
@@ -72,14 +72,15 @@ def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
 def write_shards(df: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = 64 << 20) -> None:
     """Write the whole records, shuffled, to ``path``/shard=k; read back in order of ``slot``.
 
-    Buckets are sized by the bytes of text. Equal records are told apart by their place in the input.
+    Buckets are sized by the bytes of text. Equal records are told apart by their place in the input, which is written
+    out with them first: an input that is computed anew may come in another order.
     """
     names = df.columns
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
     n_rows, n_bytes = df.agg(F.count("*"), F.coalesce(F.sum(size + 64), F.lit(0))).first()
     per_bucket = max(1, n_rows * bucket_bytes // max(n_bytes, 1))
     rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), F.monotonically_increasing_id().alias("_copy"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_whole"))
-    scattered, buckets = scatter(rows, ["_id", "_text", "_copy"], n_rows, seed, per_bucket)
+    scattered, buckets = scatter(table(rows, "numbered"), ["_id", "_text", "_copy"], n_rows, seed, per_bucket)
     placed = into_ranges(permute(scattered, buckets, seed), n_rows, shards)
     placed.select(F.struct("_whole.*").alias("record"), "shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
