@@ -10,15 +10,15 @@ trie has two levels, cut into shards by the leading bits of the context, one fil
   has a quantised discounted probability.
 
 Sequences are cut into blocks of ``BLOCK`` values: low parts in whole bytes, high parts in unary, and a directory of
-first values. Files are memory-mapped and only blocks that a batch asks for are decoded.
+first values. Files are memory-mapped and only blocks that a batch asks for are decoded, ``AT_ONCE`` at a time.
 
 Counting covers every training text. A task counts pairs of about ``FLUSH`` tokens at a time with a sort, and ships
-sorted blocks for each shard; a shard's task merges them, drops pairs met fewer than ``LEAST`` times, and writes its
-file (first under a name of its own, then moved, so a repeated task does no harm). The number of shards follows the
-size of the input. Order 2 is kept: most three-word sequences of a large corpus are met once and would be dropped.
+sorted blocks for each shard; a shard's task merges them and writes its file (first under a name of its own, then
+moved, so a repeated task does no harm). Every pair is kept, also one met once (``LEAST`` is 1). The number of shards
+follows the size of the input. The order is 2: ``score`` is defined by pairs, there is no third level.
 
 p(w | c) = max(count(c, w) - D, 0) / count(c) + b(c) * (count(w) + 1) / (N + V + 1), with b(c) the mass not given to
-kept successors; probabilities of a context sum to one but for quantisation, one unknown token included.
+successors; probabilities of a context sum to one but for quantisation, one unknown token included.
 
 Defined results: null text is empty and has its end token; without training texts N and V are 0; an empty table gives
 an empty result.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, in_remainder, per_batch, raw_texts, scratch, split_number
 
 PARTS, OUT = 7, 2
-BLOCK, LEVELS, DISCOUNT, LEAST, FLUSH = 4096, 255, 0.75, 2, 1_500_000
+BLOCK, AT_ONCE, LEVELS, DISCOUNT, LEAST, FLUSH = 128, 2048, 255, 0.75, 1, 1_500_000
 FLOOR = -9.0  # log10 of the smallest probability and back-off weight that is told apart
 SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 64 << 20, 16, 1 << 14
 _WORD, _NEXT = np.uint64(16), np.uint64(28)
@@ -65,7 +65,7 @@ def pack(values: np.ndarray) -> bytes:
         v = values[lo : lo + BLOCK].astype(np.uint64)
         rest = v - v[0]
         span = int(rest[-1]) // len(v)
-        width = max(0, span.bit_length() - 1) // 8
+        width = min(7, (span.bit_length() + 7) // 8)  # rounded up: the unary part takes about two bits a value
         high = (rest >> np.uint64(8 * width)).astype(np.int64)
         bits = np.zeros(int(high[-1]) + len(v), np.uint8)
         bits[high + np.arange(len(v))] = 1
@@ -98,29 +98,59 @@ class Sequence:
             out |= data[1 : 1 + n * width].reshape(n, width)[:, b].astype(np.uint64) << np.uint64(8 * b)
         return out + self.first[k]
 
+    def rows(self, ks: np.ndarray) -> np.ndarray:
+        """Distinct ascending blocks decoded together, one a row; a short last one is filled up with its last value."""
+        out = np.empty((len(ks), BLOCK), np.uint64)
+        whole = (ks + 1) * BLOCK <= self.n
+        if not whole[-1]:
+            last = self.block(int(ks[-1]))
+            out[-1, : len(last)], out[-1, len(last) :] = last, last[-1]
+        start, stop = self.place[ks], self.place[ks + 1]
+        widths = self.data[start]
+        for width in np.unique(widths[whole]).tolist():
+            pick = np.nonzero(whole & (widths == width))[0]
+            low = start[pick] + 1
+            high = low + BLOCK * width
+            sizes = stop[pick] - high
+            begin = np.cumsum(sizes) - sizes
+            bits = np.unpackbits(self.data[np.repeat(high - begin, sizes) + np.arange(sizes.sum())])
+            ones = np.nonzero(bits)[0].reshape(len(pick), BLOCK) - 8 * begin[:, None] - np.arange(BLOCK)
+            value = ones.astype(np.uint64) << np.uint64(8 * width)
+            if width:
+                parts = np.zeros((len(pick), BLOCK, 8), np.uint8)
+                parts[:, :, :width] = self.data[low[:, None] + np.arange(BLOCK * width)].reshape(len(pick), BLOCK, width)
+                value |= parts.view(np.uint64)[:, :, 0]
+            out[pick] = value + self.first[ks[pick]][:, None]
+        return out
+
+    def _spans(self, which: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Ranges of ascending block numbers with their distinct blocks, ``AT_ONCE`` at most."""
+        edges = np.append(np.nonzero(np.diff(which, prepend=-1))[0], len(which))
+        for k in range(0, len(edges) - 1, AT_ONCE):
+            part = edges[k : k + AT_ONCE + 1]
+            yield int(part[0]), int(part[-1]), which[part[:-1]]
+
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Places of ascending values, -1 where absent; decodes just the blocks they fall into."""
         out = np.full(len(wanted), -1, np.int64)
         if not self.n or not len(wanted):
             return out
         which = np.searchsorted(self.first, wanted, "right") - 1
-        edges = np.append(np.nonzero(np.diff(which, prepend=-2))[0], len(wanted))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            k = int(which[lo])
-            if k >= 0:
-                values = self.block(k)
-                at = np.searchsorted(values, wanted[lo:hi])
-                hit = values[np.minimum(at, len(values) - 1)] == wanted[lo:hi]
-                out[lo:hi][hit] = at[hit] + k * BLOCK
+        before = int(np.searchsorted(which, 0))  # smaller than all
+        for lo, hi, ks in self._spans(which[before:]):
+            lo, hi = lo + before, hi + before
+            values = self.rows(ks).ravel()
+            at = np.minimum(np.searchsorted(values, wanted[lo:hi]), len(values) - 1)
+            hit = values[at] == wanted[lo:hi]
+            out[lo:hi][hit] = ks[at[hit] // BLOCK] * BLOCK + at[hit] % BLOCK
         return out
 
     def take(self, places: np.ndarray) -> np.ndarray:
         """Values at ascending places."""
         out = np.empty(len(places), np.uint64)
         which = places // BLOCK
-        edges = np.append(np.nonzero(np.diff(which, prepend=-1))[0], len(places))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            out[lo:hi] = self.block(int(which[lo]))[places[lo:hi] % BLOCK]
+        for lo, hi, ks in self._spans(which):
+            out[lo:hi] = self.rows(ks)[np.searchsorted(ks, which[lo:hi]), places[lo:hi] % BLOCK]
         return out
 
 
@@ -391,7 +421,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         return handle
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    done = per_batch(docs.selectExpr("doc_id", "cast(text as string) text"), work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double", 1024)
+    done = per_batch(docs.selectExpr("doc_id", "cast(text as string) text"), work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double", 4096)
     return done.select("doc_id", (split_number(F.col("doc_id"), PARTS) == OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -170,6 +170,20 @@ def test_ngram_full_model(spark, monkeypatch):
         assert abs(r.score - want) < 0.02 * len(seq)
 
 
+def test_ngram_keeps_pairs_met_once(spark):
+    """Each pair occurs once in training: its discounted probability counts, not the back-off alone."""
+    ids = [i for i in range(100) if remainder(i, 7) != 2][:3]
+    texts = ["red fox", "blue whale", "grey owl"]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    n, v = 9, 7  # six words once, the end token three times
+    low = lambda k: (k + 1) / (n + v + 1)
+    start = 0.25 / 3 + 0.75 * low(1)  # the start is followed by three words: 3 * 0.25 / 3 given
+    inside, end = 0.25 + 0.75 * low(1), 0.25 + 0.75 * low(3)
+    want = sum(map(math.log10, (start, inside, end)))
+    for r in ngram.score_texts(docs).collect():
+        assert abs(r.score - want) < 0.06 and r.score > r.base_score
+
+
 @pytest.mark.parametrize("n", [0, 1, 5000, 12_345])
 def test_sequences(n):
     """Elias-Fano: every value found and taken back, absent ones not."""
