@@ -206,15 +206,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns, in one pass without a shuffle."""
-    model, _ = fit(docs, labels)
-    at = docs.columns.index("text")
+    """The rows of ``docs`` below their language's threshold, with all their columns, in one pass without a shuffle.
+
+    Null languages and those without a threshold of their own have the common one.
+    """
+    model, cuts = fit(docs, labels)
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def work():
         words = WordRows()
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good = [not model or model.score(words.of(t)) < CUT for t in raw_texts(batch.column(at))]
+            langs = batch.column(lang).to_pylist()
+            good = [not model or model.score(words.of(t)) < cuts.get(k, cuts[None]) for k, t in zip(langs, raw_texts(batch.column(at)), strict=True)]
             return batch.filter(pa.array(good, pa.bool_()))
 
         return handle

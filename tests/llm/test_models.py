@@ -50,6 +50,23 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.toxicity(empty, some).count() == 0 and toxicity.clean(empty, some).count() == 0
 
 
+def test_clean_uses_thresholds_by_language(spark, monkeypatch):
+    """A row stays or goes by its own language's threshold; null and unlisted languages by the common one."""
+
+    class Fixed:
+        def score(self, ids):
+            return 0.5 if len(ids) < 4 else 0.8
+
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: (Fixed(), {None: 0.7, "fr": 0.4, "en": 0.9}))
+    few, many = "ab", "ab cd ef gh ij kl mn op"
+    assert len(toxicity.WordRows().of(few.encode())) < 4 <= len(toxicity.WordRows().of(many.encode()))
+    rows = [(k, text, lang) for k, (text, lang) in enumerate((t, x) for t in (few, many) for x in ("fr", "en", "de", None))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in toxicity.clean(docs, None).collect()}
+    flags = {r.doc_id for r in toxicity.toxicity(docs, None).where("not lang_flag").collect()}
+    assert kept == flags == {1, 2, 3, 5}
+
+
 def test_toxicity_model_over_pieces():
     """The folded, piecewise logit equals the plain network over the whole text."""
     model = toxicity.Model()
