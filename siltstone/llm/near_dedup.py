@@ -1,6 +1,6 @@
 """Near-duplicate detection: chosen-path set similarity join over minwise tokens.
 
-A text is the set of its distinct 4-word shingles (64-bit hashes); its record holds ``TOKENS`` minwise tokens. Equal
+A text is the set of its distinct word shingles (64-bit hashes), of 4 words in the query, of 5 in ``deduplicate``; its record holds ``TOKENS`` minwise tokens. Equal
 sets are collapsed first, so a record stands for any number of copies. Each of ``TREES`` independent trees starts with
 all records in one node. A node hands each record on to ``BRANCH`` children: the node's key draws that many token
 places, and the record goes to the child named by (place, its token there). Records of Jaccard similarity s meet in a
@@ -21,8 +21,8 @@ link is confirmed on the full sets: 100 * intersection >= 80 * union. It goes in
 So every candidate pair is either confirmed or refuted on full sets, or lies within a group already. Groups are joined
 by min-label propagation with pointer jumping, in the cluster; nothing but counts reaches the driver.
 
-Defined results: null, empty or blank text has an empty set and is linked with nothing; fewer than four words are one
-shingle; null ids sort last (a group of null ids only has a null component_id); repeated rows are copies of one
+Defined results: null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle
+has are one; null ids sort last (a group of null ids only has a null component_id); repeated rows are copies of one
 another; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, checkpoint, mix, per_batch, raw_texts, table
 from .exact_dedup import decide
 
-SHINGLE = 4
+SHINGLE, STAGE_SHINGLE = 4, 5  # words: the query's contract; the pipeline's stage
 SIMILAR = 80  # per cent
 TOKENS, BRANCH, TREES, LEAF, DEPTH = 64, 2, 4, 64, 4
 BLOCK, WHOLE = 512, 4096  # records compared at once in a large node; shingles of a text that is decided there
@@ -70,7 +70,7 @@ def tokens_of(shingles: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _profile():
+def _profile(width: int):
     hashes, pack = WordHash(), zstandard.ZstdCompressor(level=1)
     schema = pa.schema([("_row", pa.int64()), ("_doc", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("sig", pa.list_(pa.int32())), ("z", pa.binary())])
 
@@ -78,7 +78,7 @@ def _profile():
         n, keys, sigs, packed = [], [], [], []
         for raw in raw_texts(batch.column("_text")):
             text = raw.lower()
-            s = shingle_set(text.split(), hashes)
+            s = shingle_set(text.split(), hashes, width)
             n.append(len(s))
             keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
             sigs.append(tokens_of(s) if len(s) else None)
@@ -165,7 +165,7 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return both
 
 
-def _settle():
+def _settle(width: int):
     """Links between the groups of a large node.
 
     Pairs whose texts are both at hand are decided on full sets, and of the links just enough are put out to join the
@@ -186,7 +186,7 @@ def _settle():
         k = np.nonzero(has)[0]
         if len(k) < 2:
             return
-        both, n = overlaps([shingle_set(unpack.decompress(z[int(x)].as_py()).split(), hashes) for x in k]), size[k].astype(np.float32)
+        both, n = overlaps([shingle_set(unpack.decompress(z[int(x)].as_py()).split(), hashes, width) for x in k]), size[k].astype(np.float32)
         alike = np.triu((100 + SIMILAR) * both >= SIMILAR * np.add.outer(n, n), 1) & (group[k][:, None] != group[k])
         i, j = (k[x] for x in np.nonzero(alike))
         _, first = np.unique(np.minimum(group[i], group[j]) * len(names) + np.maximum(group[i], group[j]), return_index=True)
@@ -212,14 +212,14 @@ def _settle():
     return handle
 
 
-def _confirm():
+def _confirm(width: int):
     """Keeps the pairs whose full sets are similar enough."""
     hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
     kept: OrderedDict[int, np.ndarray] = OrderedDict()
 
     def full(rec: int, z: pa.Scalar) -> np.ndarray:
         if rec not in kept:
-            kept[rec] = shingle_set(unpack.decompress(z.as_py()).split(), hashes)
+            kept[rec] = shingle_set(unpack.decompress(z.as_py()).split(), hashes, width)
             while len(kept) > 1 and sum(map(len, kept.values())) > 2_000_000:
                 kept.popitem(last=False)
         return kept[rec]
@@ -239,7 +239,7 @@ def _confirm():
     return handle
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) of records that are similar on their full sets; ``texts`` has rec and packed text z."""
     pairs = checkpoint(pairs.distinct())
     if pairs.isEmpty():
@@ -247,7 +247,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("rec")).union(pairs.select(F.col("b").alias("rec"))).distinct()
     texts = table(texts.join(wanted, "rec", "left_semi"), "texts")
     full = pairs.join(texts.select(F.col("rec").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("rec").alias("a"), F.col("z").alias("za")), "a")
-    return checkpoint(per_batch(full.select("a", "b", "za", "zb"), _confirm, "a long, b long", 64))
+    return checkpoint(per_batch(full.select("a", "b", "za", "zb"), lambda: _confirm(width), "a long, b long", 64))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _members(rows: DataFrame, key: list[str], *more: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.collect_list(F.struct("rec", "n", "grp", "sig", *more)).alias("members")).select("members")
 
 
-def linked(records: DataFrame, texts: DataFrame) -> DataFrame:
+def linked(records: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(rec, grp) of all records that are linked with another. ``records``: rec, n, sig of distinct sets."""
     roots = records.select("rec", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"))
     level = children(roots)
@@ -281,7 +281,7 @@ def linked(records: DataFrame, texts: DataFrame) -> DataFrame:
     stars = stars.join(records.select(F.col("rec").alias("a"), F.col("n").alias("_na"), F.col("sig").alias("_sa")), "a")
     agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda x: x))
     stars = stars.where((100 * F.least("_na", "_nb") >= SIMILAR * F.greatest("_na", "_nb")) & (agree >= AGREE)).select("a", "b")
-    first = confirm(per_batch(small, _compare(True), "a long, b long", 128).union(stars), texts)
+    first = confirm(per_batch(small, _compare(True), "a long, b long", 128).union(stars), texts, width)
     groups = components(first)
 
     def grouped(rows: DataFrame) -> DataFrame:
@@ -308,8 +308,8 @@ def linked(records: DataFrame, texts: DataFrame) -> DataFrame:
     if not large.isEmpty():
         wanted = large.where(F.col("n") <= WHOLE).select("rec").distinct()
         some = table(texts.join(wanted, "rec", "left_semi"), "some")
-        pairs = pairs.union(per_batch(_members(large.join(some, "rec", "left"), ["node", "_lo", "_hi"], "z"), _settle, "a long, b long", 4))
-    again = confirm(pairs, texts)
+        pairs = pairs.union(per_batch(_members(large.join(some, "rec", "left"), ["node", "_lo", "_hi"], "z"), lambda: _settle(width), "a long, b long", 4))
+    again = confirm(pairs, texts, width)
     if again.isEmpty():
         return groups
     merged = again.join(groups.select(F.col("rec").alias("a"), F.col("grp").alias("_ga")), "a", "left").join(groups.select(F.col("rec").alias("b"), F.col("grp").alias("_gb")), "b", "left")
@@ -318,17 +318,17 @@ def linked(records: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpoint(joined.union(merged.join(groups, "rec", "left_anti")))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, width: int = SHINGLE) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, component_id, stays (true for exactly one row of a component).
 
     ``row_col`` names a unique long column; without it rows are numbered as they are read.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = table(per_batch(df.select(row.alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")), _profile, "_row long, _doc long, n long, key string, sig array<int>, z binary", 64), "profile")
+    rows = table(per_batch(df.select(row.alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")), lambda: _profile(width), "_row long, _doc long, n long, key string, sig array<int>, z binary", 64), "profile")
     done = checkpoint(decide(rows.where("key is not null").select("_row", "_doc", "n", "key"), "key", "_doc", "_row").select("_row", "_doc", "n", "_keep"))
     chief = done.where("_row = _keep._row").select(F.col("_row").alias("rec"), F.struct(F.col("_keep._none").alias("_none"), F.col("_keep._id").alias("_id"), F.col("_row").alias("_row")).alias("_first"))
     records = table(rows.where("key is not null").select(F.col("_row").alias("rec"), "n", "sig").join(chief.select("rec"), "rec", "left_semi"), "records")
-    groups = linked(records, rows.select(F.col("_row").alias("rec"), "z"))
+    groups = linked(records, rows.select(F.col("_row").alias("rec"), "z"), width)
     tops = groups.join(chief, "rec").groupBy("grp").agg(F.min("_first").alias("_top"))
     tops = checkpoint(groups.join(tops, "grp").select(F.col("rec").alias("_rec"), "_top"))
     full = done.withColumn("_rec", F.col("_keep._row")).join(tops, "_rec", "left")
@@ -339,14 +339,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked_rows.union(bare)
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = STAGE_SHINGLE) -> DataFrame:
     """The records of ``df``, all columns, of which exactly one of each component stays: that of the smallest id."""
     names = df.columns
     rows = table(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rec"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")).select("row", "doc", "rec"), "whole")
-    gone = near_duplicates(rows.select("row", "doc", F.col("rec").getField(text_col).alias("text")), "doc", "text", "row").where("not stays").select("row")
+    gone = near_duplicates(rows.select("row", "doc", F.col("rec").getField(text_col).alias("text")), "doc", "text", "row", width).where("not stays").select("row")
     return rows.join(gone, "row", "left_anti").select("rec.*")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=SHINGLE)
     return done.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -170,6 +170,43 @@ def test_near_deduplicate(odd):
     assert len(set(kept)) == len(kept)
 
 
+def test_near_deduplicate_takes_five_words(spark):
+    """0.822 alike on 4-word shingles, 0.780 on 5-word ones: linked by the query, kept by the stage."""
+    a = [f"a{i}" for i in range(85)]
+    b = [f"x{i}" if i in (25, 55) else w for i, w in enumerate(a)]
+    five = [frozenset(tuple(x[i : i + 5]) for i in range(81)) for x in (a, b)]
+    assert 71 == len(five[0] & five[1]) and 91 == len(five[0] | five[1])
+    close = [*a[:50], "y", *a[51:]]  # 76 of 86
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(close))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(df).where("doc_id < 3").collect()} == {1}
+    assert {r.doc_id for r in near_dedup.deduplicate(df).collect()} == {1, 2}
+
+
+def test_near_deduplicate_against_brute_force(spark, monkeypatch):
+    """The stage, on five words, with large nodes too."""
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(5)
+    texts = [t for _ in range(30) for t in family(rng, 85, 4, 3)] + family(rng, 200, 60, 6)
+    rows = list(enumerate(texts))
+    sets = [frozenset(zip(*(words(low(t))[k:] for k in range(5)), strict=False)) for t in texts]
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                a, b = sorted((find(x), find(y)))
+                top[b] = a
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(df).collect()) == sorted({find(x) for x in top})
+
+
 def test_near_sql(spark, tmp_path):
     """The query's own columns."""
     spark.createDataFrame([(1, "a b c d e"), (2, "A B C D E"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
