@@ -182,6 +182,28 @@ def test_write_shards(spark, odd, empty, tmp_path):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_query_reports_what_write_shards_wrote(spark, odd, tmp_path):
+    """The same places from both, and from any layout of the input, for records that differ in other columns only too."""
+    docs = odd.union(odd.where("doc_id = 2003").withColumn("lang", F.lit("de")))
+    found = []
+    for k, df in enumerate((docs, docs.repartition(7))):
+        sharding.write_shards(df, f"{tmp_path}/out{k}", 4)
+        found.append(Counter(map(tuple, spark.read.parquet(f"{tmp_path}/out{k}").select("record.*", "shard", "slot").collect())))
+    assert found[0] == found[1]
+    at = {(r[-2], r[-1]): (r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in found[0]}
+    said = {(r.shard, r.slot): (r.doc_id, r["size"], r.text_crc32) for r in sharding.assign_shards(docs, 4).collect()}
+    assert said == at
+
+
+def test_query_writes_the_records(spark, odd, tmp_path, monkeypatch):
+    d, calls = write_tables(spark, tmp_path, odd), []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *a, **k: (calls.append(path), write(df, path, *a, **k)))
+    got = sharding.op10_shard(spark, d)
+    assert Counter(map(tuple, spark.read.parquet(calls[0]).select("record.*").collect())) == Counter(map(tuple, odd.collect()))
+    assert got.count() == odd.count()
+
+
 def test_words(spark):
     rows = [(None,), ("",), (" a  b\x0b\x1fc d e \x85f ",), ("\ta\n",)]
     got = [r.w for r in spark.createDataFrame(rows, "text string").coalesce(1).select(words_of(F.col("text")).alias("w")).collect()]
