@@ -5,7 +5,8 @@ length. The blocks of the mix are apportioned to sources by the Sainte-Lague met
 t/1, t/3, t/5, ... down to a divisor are exactly those of round(t / divisor) seats, so with the block length as the
 divisor no list of quotients is sorted: the seats of a source are round(target / block), and the house is their sum.
 Shard j of the output gets the seats of the first j+1 shares less those of the first j, integer quotas that add up.
-A source with q seats and b blocks takes each block q div b times and q mod b seeded blocks once more.
+A source with q seats and b blocks takes each block q div b times and q mod b seeded blocks once more. What the pipeline
+puts out of a document are the words of its chosen blocks, ``taken`` words in all.
 
 The prefix sums of a stream are taken in buckets of the seeded key (a window for each source and bucket, over about
 256 documents), so no source, however large, meets in one task. Equal rows are counted first and told apart by a
@@ -70,11 +71,11 @@ def plan(sizes: DataFrame, seed: int = SEED) -> DataFrame:
     return t.withColumn("offset", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken and copies.
+def _spread(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, bool]:
+    """Every row's id, source, size, copy number, whole takes ``_times`` and passages ``_runs`` taken once more.
 
-    ``taken`` counts the words that chosen blocks hold of the document; ``copies`` is how often the block of its first
-    word is chosen, which is what a consumer of whole documents uses.
+    A passage (``at``, ``n``) is a run of chosen blocks within the document, in words. With it goes whether any rows
+    agree in id, source and size.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
     grouped = checkpoint(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n")))
@@ -93,22 +94,58 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = placed.join(planned.withColumn("_src", tagged), "_src")
     start, end = F.col("_base") + F.col("_end") - F.col("size"), F.col("_base") + F.col("_end")
     placed = placed.withColumns({"_start": start, "_stop": end})
-    extra = F.col("seats") % F.col("n_blocks")
+    block = F.col("block")
+    extra = lambda b: (b * PRIME + F.col("offset")) % F.col("n_blocks") < F.col("seats") % F.col("n_blocks")
+    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_stop") - 1) / block)
+    spans = F.sequence(first, last)
+    opens = F.filter(spans, lambda b: extra(b) & ((b == first) | ~extra(b - 1)))
+    ends = F.filter(spans, lambda b: extra(b) & ((b == last) | ~extra(b + 1)))
+
+    def run(b, e):
+        at = F.greatest(F.col("_start"), b * block)
+        return F.struct((at - F.col("_start")).alias("at"), (F.least(F.col("_stop"), (e + 1) * block) - at).alias("n"))
+
+    some = F.col("size") > 0
+    times = F.when(some, F.floor(F.col("seats") / F.col("n_blocks")).cast("int")).otherwise(0)
+    runs = F.when(some, F.zip_with(opens, ends, run)).otherwise(F.expr("cast(array() as array<struct<at: bigint, n: bigint>>)"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "_copy", times.alias("_times"), runs.alias("_runs")), not grouped.where("_n > 1").isEmpty()
 
-    def times(b):
-        return F.floor(F.col("seats") / F.col("n_blocks")).cast("long") + F.when((b * PRIME + F.col("offset")) % F.col("n_blocks") < extra, 1).otherwise(0)
 
-    spans = F.sequence(F.floor(F.col("_start") / F.col("block")), F.floor((F.col("_stop") - 1) / F.col("block")))
-    share = lambda b: times(b) * (F.least(F.col("_stop"), (b + 1) * F.col("block")) - F.greatest(F.col("_start"), b * F.col("block")))
-    taken = F.when(F.col("size") > 0, F.aggregate(spans, F.lit(0).cast("long"), lambda acc, b: acc + share(b))).otherwise(F.lit(0).cast("long"))
-    copies = F.when(F.col("size") > 0, times(F.floor(F.col("_start") / F.col("block")))).otherwise(F.lit(0).cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken and copies.
+
+    ``taken`` counts the words that chosen blocks hold of the document, ``copies`` the records of ``take`` that hold them.
+    """
+    spread, _ = _spread(df, id_col, text_col, source_col, seed)
+    taken = F.col("_times") * F.col("size") + F.aggregate("_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["n"])
+    copies = (F.col("_times") + (F.size("_runs") > 0).cast("int")).cast("long")
+    return spread.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+
+
+def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The mix: records of ``df``, all columns, whose texts hold just the ``taken`` words of each document.
+
+    A document comes whole as often as all its blocks are chosen; the passages chosen once more make one further
+    record, each passage from a new line on, white space within passages as it was. Other columns are carried along as they are.
+    """
+    spread, repeated = _spread(df, id_col, text_col, source_col, seed)
+    chosen = spread.where((F.col("_times") > 0) | (F.size("_runs") > 0)).select(F.col("doc_id").alias("_k1"), F.col("source").alias("_k2"), F.col("size").alias("_k3"), F.col("_copy").alias("_k4"), "_times", "_runs")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_rec"), F.col(id_col).alias("_d1"), F.col(source_col).alias("_d2"), F.size(words(F.col(text_col))).cast("long").alias("_d3"))
+    text = F.col("_rec").getField(text_col)
+    number = F.row_number().over(W.partitionBy("_d1", "_d2", "_d3").orderBy(F.xxhash64(text))) if repeated else F.lit(1)
+    rows = rows.withColumn("_d4", number)
+    joined = rows.join(chosen, [F.col(f"_d{k}").eqNullSafe(F.col(f"_k{k}")) for k in (1, 2, 3, 4)])
+    each = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # every word with the white space before it
+    passages = F.transform("_runs", lambda r: F.array_join(F.slice(each, (r["at"] + 1).cast("int"), r["n"].cast("int")), ""))
+    once = F.when(F.size("_runs") == 0, F.expr("cast(array() as array<string>)")).when(F.col("_runs")[0]["n"] == F.col("_d3"), F.array(text)).otherwise(F.array(F.array_join(passages, "\n")))
+    out = joined.select("_rec", F.explode(F.concat(F.array_repeat(text, F.col("_times")), once)).alias("_text"))
+    return out.select(F.col("_rec").withField(f"`{text_col}`", F.col("_text")).alias("_rec")).select("_rec.*")
 
 
 def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The records of ``df``, all columns, each as often as the block of its first word is chosen.
+    """Whole records of ``df``, all columns, each as often as ``take`` has records of it: more words than targeted.
 
-    Records that agree in id, source and size share their copies out evenly, rounded up.
+    Records that agree in id, source and size share their copies out evenly, rounded up. The pipeline uses ``take``.
     """
     keys = ["_k1", "_k2", "_k3"]
     chosen = mix(df, id_col, text_col, source_col, seed).groupBy(F.col("doc_id").alias("_k1"), F.col("source").alias("_k2"), F.col("size").alias("_k3")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")

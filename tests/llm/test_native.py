@@ -130,6 +130,26 @@ def test_resample(odd, empty):
     assert held == {k: n[k] * math.ceil(v / n[k]) for k, v in copies.items() if v}
 
 
+def test_take_puts_out_what_is_taken(spark, odd, empty):
+    """The words put out of each document are those that the query counts, long documents and few of them included."""
+    few = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20_000)), "a"), (2, " v\n ".join(f"u{k}" for k in range(900)), "b")], "doc_id bigint, text string, source string")
+    for df in (odd, few):
+        got, want, held = mixing.take(df), Counter(), Counter()
+        assert got.columns == df.columns
+        sizes, targets_by = Counter(), {}
+        for r in mixing.mix(df).collect():
+            want[r.doc_id, r.source] += r.taken
+            targets_by[r.source] = r.target
+        for r in got.collect():
+            held[r.doc_id, r.source] += len(words(r.text))
+            sizes[r.source] += len(words(r.text))
+        assert held == +want
+        assert all(abs(sizes[k] - t) <= 2 * mixing.LEAST_BLOCK for k, t in targets_by.items())
+    whole = {r.doc_id: r.text for r in few.collect()}
+    assert all(line in whole[r.doc_id] for r in mixing.take(few).where("doc_id = 1").collect() for line in r.text.split("\n"))
+    assert mixing.take(empty).count() == 0
+
+
 def test_mix_sql(spark, odd, tmp_path):
     d = write_tables(spark, tmp_path, odd.where("doc_id is not null"))
     con = duckdb.connect()
