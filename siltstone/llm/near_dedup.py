@@ -1,25 +1,31 @@
 """Near-duplicate detection: chosen-path set similarity join over minwise tokens.
 
-A text is the set of its distinct word shingles (64-bit hashes), of 4 words in the query, of 5 in ``deduplicate``; its record holds ``TOKENS`` minwise tokens. Equal
-sets are collapsed first, so a record stands for any number of copies. Each of ``TREES`` independent trees starts with
-all records in one node. A node hands each record on to ``BRANCH`` children: the node's key draws that many token
-places, and the record goes to the child named by (place, its token there). Records of Jaccard similarity s meet in a
-child with probability s for each place; with two places and s = 0.8 a tree keeps a pair together for ever with
-probability 0.9375, so four trees miss 0.0625 ** 4 = 1.5e-5 of the pairs that similar, and fewer of closer ones.
+A text is the set of its distinct word shingles (64-bit hashes), of 4 words in the query, of 5 in ``deduplicate``; its
+record holds ``TOKENS`` minwise tokens. Equal sets are collapsed first, so a record stands for any number of copies.
+Each of ``TREES`` independent trees starts with all records in one node. The root hands each record on to two children:
+the root's key draws two token places, and the record goes to the child named by (place, its token there). Larger nodes
+below split faster: the key draws ``BRANCH`` pairs of places, and a child is named by the pair and both tokens there.
+Records of Jaccard similarity s meet in a child of the root with probability s for each place, in a deeper one with s^2
+for each pair. At s = 0.8 a tree keeps a pair together for ever with probability 0.93 or more, so four trees miss less
+than 0.07 ** 4 = 2.4e-5 of the pairs that similar, and fewer of closer ones.
 
 Nodes of at most ``LEAF`` records are compared exhaustively, on token agreement; what agrees in at least ``AGREE`` of
 ``TOKENS`` places is a candidate (a pair of similarity 0.8 falls below that with probability 2e-5), and every candidate
-link is confirmed on the full sets: 100 * intersection >= 80 * union. It goes in two phases:
+link is confirmed on the full sets: 100 * intersection >= 80 * union. Nodes of the same records are compared once. It
+goes in two phases:
 
 1. Each small node gives a spanning forest of its candidates, each large one a star from its smallest record. The
    confirmed links merge records into groups. A large family of near copies so costs links in proportion to its size.
 2. Nodes whose records are all in one group are done. In other small ones all candidates from different groups are
    compared. Large ones branch on, but for those that hold more than half of their parent: their records are alike on
-   the whole, would go on together, and are compared exhaustively, on full sets, in blocks of ``BLOCK`` records. So is
-   what is below ``BLOCK`` records or at ``DEPTH``.
+   the whole, would go on together, and are compared exhaustively, on full sets, in blocks. So is what is below
+   ``BLOCK`` records or at ``DEPTH``. Records of the node's largest group are compared with those of other groups only,
+   so a node of n records, all but r of them in one group, costs r * n comparisons, not n * n.
 
-So every candidate pair is either confirmed or refuted on full sets, or lies within a group already. Groups are joined
-by min-label propagation with pointer jumping, in the cluster; nothing but counts reaches the driver.
+So every candidate pair is either confirmed or refuted on full sets, or lies within a group already. In large nodes,
+records of at most ``WHOLE`` shingles are decided on their full sets at once, longer ones become candidates by their
+tokens as in small nodes; the outcome of both ways is that of the full sets. Groups are joined by min-label propagation
+with pointer jumping, in the cluster; nothing but counts reaches the driver.
 
 Defined results: null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle
 has are one; null ids sort last (a group of null ids only has a null component_id); repeated rows are copies of one
@@ -34,15 +40,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, checkpoint, mix, per_batch, raw_texts, table
+from .common import WordHash, drop, join_hot, mix, per_batch, raw_texts, table
 from .exact_dedup import decide
 
 SHINGLE, STAGE_SHINGLE = 4, 5  # words: the query's contract; the pipeline's stage
 SIMILAR = 80  # per cent
-TOKENS, BRANCH, TREES, LEAF, DEPTH = 64, 2, 4, 64, 4
+TOKENS, BRANCH, TREES, LEAF, DEPTH = 64, 3, 4, 64, 4
 BLOCK, WHOLE = 512, 4096  # records compared at once in a large node; shingles of a text that is decided there
 AGREE = 36
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,13 +94,24 @@ def _profile(width: int):
     return handle
 
 
+def first_level(records: DataFrame) -> DataFrame:
+    """(node, rec): the two children of each tree's root that a record goes to."""
+    roots = records.select("rec", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"))
+    places = F.transform(F.array(F.lit(0), F.lit(1)), lambda j: _place("node", j))
+    return roots.select("rec", "sig", "node", F.explode(places).alias("_i")).select(F.xxhash64("node", "_i", F.get("sig", F.col("_i"))).alias("node"), "rec")
+
+
+def _place(node: str, j: Column) -> Column:
+    """The j-th token place that a node's key draws; TOKENS is a power of two and steps are odd, so places differ."""
+    first, step = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(TOKENS)), F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TOKENS // 2)) * 2 + 1
+    return ((first + step * j) % TOKENS).cast("int")
+
+
 def children(nodes: DataFrame) -> DataFrame:
-    """(node, rec) of the next level from (node, rec, sig), and the parent's size ``_p`` where it is given."""
-    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")
-    step = (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)) + 1).cast("int")
-    more = [c for c in nodes.columns if c == "_p"]
-    each = nodes.select("node", "rec", "sig", *more, F.explode(F.array(*[((first + step * j) % TOKENS) for j in range(BRANCH)])).alias("_i"))
-    return each.select(F.xxhash64("node", "_i", F.get("sig", F.col("_i"))).alias("node"), "rec", *more).distinct()
+    """The next level below large nodes: a child for each of ``BRANCH`` pairs of places. ``_n`` becomes the parent's ``_p``."""
+    each = nodes.select("rec", "n", "sig", "grp", F.col("_n").alias("_p"), "node", F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1))).alias("_j"))
+    token = lambda k: F.get("sig", _place("node", F.col("_j") * 2 + k))
+    return each.select(F.xxhash64("node", "_j", token(0), token(1)).alias("node"), "rec", "n", "sig", "grp", "_p")
 
 
 def _agree(a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +223,9 @@ def _settle(width: int):
     def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int]] = []
         for k in range(batch.num_rows):
-            node(batch.column("members")[k].values, out)
+            members = batch.column("members")[k].values
+            _, once = np.unique(members.field("rec").to_numpy(), return_index=True)  # a record may stand on both sides of a block
+            node(members.take(pa.array(once)), out)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
 
     return handle
@@ -216,12 +235,19 @@ def _confirm(width: int):
     """Keeps the pairs whose full sets are similar enough."""
     hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
     kept: OrderedDict[int, np.ndarray] = OrderedDict()
+    held = 0
+
+    def forget(rec: int | None = None) -> None:
+        nonlocal held
+        held -= len(kept.pop(rec) if rec is not None else kept.popitem(last=False)[1])
 
     def full(rec: int, z: pa.Scalar) -> np.ndarray:
+        nonlocal held
         if rec not in kept:
             kept[rec] = shingle_set(unpack.decompress(z.as_py()).split(), hashes, width)
-            while len(kept) > 1 and sum(map(len, kept.values())) > 2_000_000:
-                kept.popitem(last=False)
+            held += len(kept[rec])
+            while len(kept) > 1 and held > 1_000_000:  # 8 MB
+                forget()
         return kept[rec]
 
     def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,7 +257,8 @@ def _confirm(width: int):
         for k in range(len(a)):
             x = full(a[k], za[k])
             y = full(b[k], zb[k])
-            kept.pop(b[k], None) if a[k] != b[k] else None
+            if b[k] != a[k] and b[k] in kept:
+                forget(b[k])
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -241,81 +268,120 @@ def _confirm(width: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) of records that are similar on their full sets; ``texts`` has rec and packed text z."""
-    pairs = checkpoint(pairs.distinct())
+    pairs = table(pairs.where("a != b").distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.col("a").alias("rec")).union(pairs.select(F.col("b").alias("rec"))).distinct()
     texts = table(texts.join(wanted, "rec", "left_semi"), "texts")
     full = pairs.join(texts.select(F.col("rec").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("rec").alias("a"), F.col("z").alias("za")), "a")
-    return checkpoint(per_batch(full.select("a", "b", "za", "zb"), lambda: _confirm(width), "a long, b long", 64))
+    good = table(per_batch(full.select("a", "b", "za", "zb"), lambda: _confirm(width), "a long, b long", 64), "good")
+    drop(texts)
+    return good
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(rec, grp): the smallest record reachable, for each record with an edge."""
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("rec")).agg(F.least(F.min("b"), F.first("a")).alias("grp")))
+    """(rec, grp): the smallest record reachable, for each record with an edge. Hubs and labels of many records stay on the map side.
+
+    Each round is written and read again: estimates of a checkpointed frame's size would multiply from round to round.
+    """
+    both = table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = table(both.groupBy(F.col("a").alias("rec")).agg(F.least(F.min("b"), F.first("a")).alias("grp")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.rec).groupBy("a").agg(F.min("grp").alias("_near"))
-        moved = labels.join(near, labels.rec == near.a).select("rec", F.least("grp", "_near").alias("grp"), F.col("grp").alias("_was"))
-        moved = checkpoint(moved)
+        near = join_hot(both, labels.withColumnRenamed("rec", "b"), "b").groupBy(F.col("a").alias("rec")).agg(F.min("grp").alias("_near"))
+        moved = table(labels.join(near, "rec").select("rec", F.least("grp", "_near").alias("grp"), F.col("grp").alias("_was")), "moved")
         jump = moved.select(F.col("rec").alias("grp"), F.col("grp").alias("_next"))
-        after = checkpoint(moved.join(jump, "grp").select("rec", F.least("grp", "_next").alias("grp"), (F.least("grp", "_next") != F.col("_was")).alias("_new")))
-        labels = after.select("rec", "grp")
+        after = table(join_hot(moved, jump, "grp").select("rec", F.least("grp", "_next").alias("grp"), (F.least("grp", "_next") != F.col("_was")).alias("_new")), "labels")
+        drop(labels)
+        drop(moved)
+        labels = after
         if after.where("_new").isEmpty():
-            return labels
+            drop(both)
+            return labels.select("rec", "grp")
 
 
 def _members(rows: DataFrame, key: list[str], *more: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.collect_list(F.struct("rec", "n", "grp", "sig", *more)).alias("members")).select("members")
 
 
+_SAME = ["_n", "_pivot", "_x", "_y"]
+
+
+def _contents() -> list[Column]:
+    """Of a node: size, smallest record, and two 64-bit hashes of its set of records."""
+    return [F.count("*").alias("_n"), F.min("rec").alias("_pivot"), *[F.bit_xor(F.xxhash64("rec", F.lit(k))).alias(c) for k, c in ((1, "_x"), (2, "_y"))]]
+
+
+def _once(nodes: DataFrame, spare: Column) -> DataFrame:
+    """One node of those with the same records, where ``spare`` says that one will do."""
+    return nodes.where(spare).groupBy(*_SAME).agg(F.min(F.struct(*[c for c in nodes.columns if c not in _SAME])).alias("_v")).select(*_SAME, "_v.*").unionByName(nodes.where(~spare))
+
+
+def mixed_nodes(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows of nodes that hold records of different groups, with the node's size ``_n``, its largest group ``_main``
+    and that one's size ``_m``, and whether it is to be compared (``_tight``, always so for small ones) or to branch on."""
+    part = rows.groupBy("node", "grp", "_p").agg(F.count("*").alias("_c"), F.min("rec").alias("_a"), *_contents()[2:])
+    each = part.groupBy("node", "_p").agg(F.sum("_c").alias("_n"), F.min("_a").alias("_pivot"), F.bit_xor("_x").alias("_x"), F.bit_xor("_y").alias("_y"), F.max_by("grp", F.struct("_c", "grp")).alias("_main"), F.max("_c").alias("_m"))
+    tight = (F.col("_n") <= BLOCK) | (2 * F.col("_n") > F.col("_p")) | F.lit(depth == DEPTH)
+    each = table(_once(each.where("_m < _n").withColumn("_tight", tight), F.col("_tight")).select("node", "_n", "_main", "_m", "_tight"), "sizes")
+    return table(rows.drop("_p").join(each, "node"), "mixed")
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """Rows of large tight nodes dealt out to blocks (``_i``, ``_j``): in those, every record outside of the main group
+    meets every record of the node."""
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    rare, all_ = parts(F.col("_n") - F.col("_m")), parts(F.col("_n"))
+    i, j = F.pmod(F.xxhash64("rec", F.lit(3)), rare).cast("int"), F.pmod(F.xxhash64("rec", F.lit(4)), all_).cast("int")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    right = F.transform(span(rare), lambda k: F.struct(k.alias("_i"), j.alias("_j")))
+    left = F.transform(span(all_), lambda k: F.struct(i.alias("_i"), k.alias("_j")))
+    at = F.when(F.col("grp") == F.col("_main"), right).otherwise(F.array_union(left, right))
+    return rows.withColumn("_at", F.explode(at)).select("node", "_at.*", "rec", "n", "grp", "sig")
+
+
 def linked(records: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(rec, grp) of all records that are linked with another. ``records``: rec, n, sig of distinct sets."""
-    roots = records.select("rec", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"))
-    level = children(roots)
-    level = table(level, "level")
-    sizes = checkpoint(level.groupBy("node").agg(F.count("*").alias("_n"), F.min("rec").alias("_pivot")).where("_n > 1"))
+    level = table(first_level(records), "level")
+    sizes = table(_once(level.groupBy("node").agg(*_contents()).where("_n > 1"), F.col("_n") <= LEAF).select("node", "_n", "_pivot"), "sizes")
     nodes = table(level.join(sizes, "node").join(records, "rec"), "nodes")
+    drop(level)
     small = _members(nodes.where(F.col("_n") <= LEAF).withColumn("grp", F.lit(0).cast("long")), ["node"])
-    stars = nodes.where((F.col("_n") > LEAF) & (F.col("rec") != F.col("_pivot"))).select(F.col("_pivot").alias("a"), F.col("rec").alias("b"), F.col("n").alias("_nb"), F.col("sig").alias("_sb")).dropDuplicates(["a", "b"])
-    stars = stars.join(records.select(F.col("rec").alias("a"), F.col("n").alias("_na"), F.col("sig").alias("_sa")), "a")
-    agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda x: x))
-    stars = stars.where((100 * F.least("_na", "_nb") >= SIMILAR * F.greatest("_na", "_nb")) & (agree >= AGREE)).select("a", "b")
+    pivots = nodes.where((F.col("_n") > LEAF) & (F.col("rec") == F.col("_pivot"))).select("node", F.col("n").alias("_na"), F.col("sig").alias("_sa"))
+    stars = nodes.where((F.col("_n") > LEAF) & (F.col("rec") != F.col("_pivot"))).join(pivots, "node")
+    agree = F.size(F.filter(F.zip_with("_sa", "sig", lambda x, y: x == y), lambda x: x))
+    stars = stars.where((100 * F.least("_na", "n") >= SIMILAR * F.greatest("_na", "n")) & (agree >= AGREE)).select(F.col("_pivot").alias("a"), F.col("rec").alias("b"))
     first = confirm(per_batch(small, _compare(True), "a long, b long", 128).union(stars), texts, width)
     groups = components(first)
 
-    def grouped(rows: DataFrame) -> DataFrame:
-        """The nodes that hold records of different groups, with the groups."""
-        with_group = rows.join(groups, "rec", "left").withColumn("grp", F.coalesce("grp", "rec"))
-        mixed = checkpoint(with_group.groupBy("node").agg(F.min("grp").alias("_g"), F.max("grp").alias("_h"), F.count("*").alias("_n")).where("_g < _h"))
-        return table(with_group.drop("_n", "_pivot").join(mixed.select("node", "_n"), "node"), "mixed")
-
-    pairs, large, nodes = None, None, grouped(nodes.withColumn("_p", F.lit(1 << 62)))
+    pairs, large, used = None, None, [nodes]
+    rows = nodes.drop("_n", "_pivot").join(groups, "rec", "left").withColumn("grp", F.coalesce("grp", "rec")).withColumn("_p", F.lit(1 << 62))
     for depth in range(1, DEPTH + 1):
-        found = per_batch(_members(nodes.where(F.col("_n") <= LEAF), ["node"]), _compare(False), "a long, b long", 128)
-        pairs = found if pairs is None else pairs.union(found)
-        tight = (F.col("_n") <= BLOCK) | (2 * F.col("_n") > F.col("_p")) | F.lit(depth == DEPTH)
-        big = nodes.where(F.col("_n") > LEAF)
-        blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-        cut = big.where(tight).withColumn("_b", F.pmod(F.xxhash64("rec"), blocks).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        cut = cut.select("node", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), "rec", "n", "grp", "sig")
-        large = cut if large is None else large.union(cut)
-        loose = big.where(~tight)
-        if depth == DEPTH or loose.isEmpty():
+        mixed = mixed_nodes(rows, depth)
+        used.append(mixed)
+        found = per_batch(_members(mixed.where(F.col("_n") <= LEAF), ["node"]), _compare(False), "a long, b long", 128)
+        cut = blocks_of(mixed.where((F.col("_n") > LEAF) & F.col("_tight")))
+        pairs, large = (found, cut) if pairs is None else (pairs.union(found), large.union(cut))
+        loose = mixed.where(~F.col("_tight"))
+        if loose.isEmpty():
             break
-        nodes = grouped(children(loose.select("node", "rec", "sig", F.col("_n").alias("_p"))).join(records, "rec"))
+        rows = children(loose)
     large = table(large, "large")
+    used.append(large)
     if not large.isEmpty():
         wanted = large.where(F.col("n") <= WHOLE).select("rec").distinct()
         some = table(texts.join(wanted, "rec", "left_semi"), "some")
-        pairs = pairs.union(per_batch(_members(large.join(some, "rec", "left"), ["node", "_lo", "_hi"], "z"), lambda: _settle(width), "a long, b long", 4))
+        used.append(some)
+        pairs = pairs.union(per_batch(_members(large.join(some, "rec", "left"), ["node", "_i", "_j"], "z"), lambda: _settle(width), "a long, b long", 4))
     again = confirm(pairs, texts, width)
+    for written in used:
+        drop(written)
     if again.isEmpty():
         return groups
-    merged = again.join(groups.select(F.col("rec").alias("a"), F.col("grp").alias("_ga")), "a", "left").join(groups.select(F.col("rec").alias("b"), F.col("grp").alias("_gb")), "b", "left")
+    merged = join_hot(again, groups.select(F.col("rec").alias("a"), F.col("grp").alias("_ga")), "a", "left")
+    merged = join_hot(table(merged, "merged"), groups.select(F.col("rec").alias("b"), F.col("grp").alias("_gb")), "b", "left")
     merged = components(merged.select(F.coalesce("_ga", "a").alias("a"), F.coalesce("_gb", "b").alias("b")).where("a != b"))
-    joined = groups.join(merged.select(F.col("rec").alias("grp"), F.col("grp").alias("_top")), "grp", "left").select("rec", F.coalesce("_top", "grp").alias("grp"))
-    return checkpoint(joined.union(merged.join(groups, "rec", "left_anti")))
+    joined = join_hot(groups, merged.select(F.col("rec").alias("grp"), F.col("grp").alias("_top")), "grp", "left").select("rec", F.coalesce("_top", "grp").alias("grp"))
+    return table(joined.union(merged.join(groups, "rec", "left_anti")), "groups")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, width: int = SHINGLE) -> DataFrame:
@@ -325,13 +391,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = table(per_batch(df.select(row.alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")), lambda: _profile(width), "_row long, _doc long, n long, key string, sig array<int>, z binary", 64), "profile")
-    done = checkpoint(decide(rows.where("key is not null").select("_row", "_doc", "n", "key"), "key", "_doc", "_row").select("_row", "_doc", "n", "_keep"))
+    done = table(decide(rows.where("key is not null").select("_row", "_doc", "n", "key"), "key", "_doc", "_row").select("_row", "_doc", "n", "_keep"), "decided")
     chief = done.where("_row = _keep._row").select(F.col("_row").alias("rec"), F.struct(F.col("_keep._none").alias("_none"), F.col("_keep._id").alias("_id"), F.col("_row").alias("_row")).alias("_first"))
     records = table(rows.where("key is not null").select(F.col("_row").alias("rec"), "n", "sig").join(chief.select("rec"), "rec", "left_semi"), "records")
     groups = linked(records, rows.select(F.col("_row").alias("rec"), "z"), width)
+    drop(records)
     tops = groups.join(chief, "rec").groupBy("grp").agg(F.min("_first").alias("_top"))
-    tops = checkpoint(groups.join(tops, "grp").select(F.col("rec").alias("_rec"), "_top"))
-    full = done.withColumn("_rec", F.col("_keep._row")).join(tops, "_rec", "left")
+    tops = table(join_hot(groups, table(tops, "tops"), "grp").select(F.col("rec").alias("_rec"), "_top"), "tops")
+    full = join_hot(done.withColumn("_rec", F.col("_keep._row")), tops, "_rec", "left")
     own = F.struct(F.col("_keep._none").alias("_none"), F.col("_keep._id").alias("_id"), F.col("_keep._row").alias("_row"))
     full = full.withColumn("_top", F.coalesce("_top", own))
     linked_rows = full.select(F.col("_row").alias("row"), F.col("_doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("_top._id").alias("component_id"), (F.col("_row") == F.col("_top._row")).alias("stays"))
