@@ -14,7 +14,7 @@ Encoding happens where the rows lie. Rows are then dealt out by conversation, so
 holds one chunk of ``CHUNK`` tokens and one turn at a time, however long a conversation is.
 
 Defined results: null role or text is empty; rows of equal turn stand in the order of their tokens, null turns first;
-repeated rows are repeated turns; a null conv_id is a conversation; an empty table gives an empty result.
+texts may be of any length and of any characters; repeated rows are repeated turns; a null conv_id is a conversation; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]")
 BEGIN, END, OPEN, CLOSE = range(50256, 50260)
 CHUNK = 8192
+#: White space as the pattern's \\s has it.
+_WIDE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 _SPELT = re.compile(r"(<)(\\*)(/?s>)|(\[)(\\*)(/?INST\])")
 
 
@@ -47,20 +49,42 @@ def unescape(text: str) -> str:
     return _SPELT.sub(lambda m: (m[1] or m[4]) + (m[2] or m[5] or "")[1:] + (m[3] or m[6]), text)
 
 
-def tokenizer(path: str = RANKS):
+def tokenizer(path: str = RANKS, pattern: str = PATTERN):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("siltstone", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("siltstone", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+class Coder:
+    """Texts of any length to ids.
+
+    White space before more text is one pre-token but for its last character, and at the end of a text one as a whole.
+    The tokenizer's pattern takes a stack as deep as that run is long, so long runs are cut out before.
+    """
+
+    def __init__(self, path: str = RANKS):
+        self.path, self.plain = path, tokenizer(path)
+        self.whole = None
+
+    def ids(self, text: str) -> list[int]:
+        found, at = [], 0
+        for m in _WIDE.finditer(text):
+            self.whole = self.whole or tokenizer(self.path, r"(?s).+")
+            stop = m.end() - (m.end() < len(text))
+            found += self.plain.encode_ordinary(text[at : m.start()])
+            found += self.whole.encode_ordinary(text[m.start() : stop])
+            at = stop
+        return found + self.plain.encode_ordinary(text[at:])
 
 
 def _encode(path: str):
     def work():
-        coder = tokenizer(path)
+        coder = Coder(path)
 
         def coded(column: pa.Array) -> pa.Array:
-            return pa.array([np.array(coder.encode_ordinary(escape(t or "")), np.int32).tobytes() for t in column.to_pylist()], pa.binary())
+            return pa.array([np.array(coder.ids(escape(t or "")), np.int32).tobytes() for t in column.to_pylist()], pa.binary())
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
             reply = pa.array([r == "assistant" for r in batch.column("role").to_pylist()], pa.bool_())

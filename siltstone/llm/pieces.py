@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The model is a byte-pair vocabulary with byte fallback. A text falls apart, exactly, between any two characters that
-stand side by side in no piece; a batch is the set of the distinct runs that remain, found by 64-bit hashes from prefix
-sums. For each batch
+stand side by side in no piece; a batch is the set of the distinct runs that remain. Runs are told apart by 64-bit hashes from
+prefix sums, and what a hash finds is compared with the run itself, character by character: a run that only shares its
+hash with a known one is encoded by itself. For each batch
 
 1. all runs that are new to the task are laid out in one array of code points and a suffix array is built by prefix
    doubling, as deep as the longest piece;
@@ -12,7 +13,9 @@ sums. For each batch
    whole. Of the edges that end at a position exactly one does. That test undoes merges from the newest and is
    remembered for each pair.
 
-The result is the same as merging pair by pair. Texts are never cut; a part without spaces may be of any length.
+The result is the same as merging pair by pair. Texts are never cut; a part without spaces may be of any length, and is
+indexed whole: such a run takes some 200 bytes of memory a character while it is new. What a task remembers of runs is
+bounded by ``MOST_BYTES``.
 
 Defined results: null or empty text has no ids and decodes to an empty text; a space mark U+2581 in a text decodes to
 a space, as in any SentencePiece model; an empty table gives an empty result; other columns are carried by no output.
@@ -32,8 +35,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _END = 0x110000  # sorts after every character and is in no piece
 _BETWEEN = "\udfff"  # stands between parts; no valid text holds it
-MOST_RUNS = 2_000_000  # runs that a task remembers, about 40 bytes each
-GROUP = 400_000  # characters of new runs that are indexed at once
+MOST_BYTES = 16 << 20  # of runs that a task remembers, with their ids
+MOST_PAIRS = 200_000  # of pieces whose test a task remembers
+GROUP = 100_000  # characters of new runs that are indexed at once
+LONG = 2000  # a longer run is relaxed edge by edge: few others have edges at its later offsets
+WINDOW = 1 << 18  # characters that are hashed at once
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -133,6 +139,11 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
 def _gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places starts[k], ..., starts[k] + counts[k] - 1, for each k."""
     before = np.cumsum(counts) - counts
@@ -140,16 +151,17 @@ def _gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, most: int = MOST_RUNS):
+    def __init__(self, vocabulary: Vocabulary, most: int = MOST_BYTES):
         self.v, self.most = vocabulary, most
         self.pairs: dict[int, bool] = {}
         self.up = self.down = np.ones(1, np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        """Known runs: sorted hashes, and where in ``ids`` their encodings lie."""
-        self.hashes, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        """Known runs: sorted hashes; where in ``ids`` their encodings lie, and in ``text`` their characters."""
+        self.hashes, none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.count, self.text_at, self.size = none, none, none, none
+        self.ids = self.text = np.zeros(0, np.int32)
 
     def occurrences(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, row of the piece) of every occurrence of every piece."""
@@ -194,27 +206,75 @@ class Encoder:
             self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BACK, k, 1 << 64))])
 
-    def learn(self, hashes: np.ndarray, runs: list[str]) -> None:
-        """Encode new distinct runs and remember them."""
+    def matched(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct runs one after another, and the number of each."""
         ids, counts, size, group = [], [], 0, []
-        for k, run in enumerate(runs):
-            group.append(run)
-            size += len(run)
-            if size > GROUP or k == len(runs) - 1:
+
+        def close():
+            nonlocal size, group
+            if group:
                 found, each = self.index(group)
                 ids.append(found)
                 counts.append(each)
-                group, size = [], 0
-        count = np.concatenate(counts)
+            group, size = [], 0
+
+        for run in runs:
+            if len(run) > LONG:
+                close()
+                found = self.index_long(run)
+                ids.append(found)
+                counts.append(np.array([len(found)]))
+            else:
+                group.append(run)
+                size += len(run)
+                if size > GROUP:
+                    close()
+        close()
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def learn(self, hashes: np.ndarray, runs: list[str]) -> None:
+        """Encode new distinct runs and remember them."""
+        ids, count = self.matched(runs)
         start = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, *ids])
+        size = np.array([len(r) for r in runs], np.int64)
+        text_at = len(self.text) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        self.text = np.concatenate([self.text, _points("".join(runs))])
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.start, self.count = np.insert(self.hashes, at, hashes), np.insert(self.start, at, start), np.insert(self.count, at, count)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        for name, new in (("start", start), ("count", count), ("text_at", text_at), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+
+    def index_long(self, run: str) -> np.ndarray:
+        """The ids of one long run: the same edges, relaxed one after another."""
+        v, size = self.v, len(run)
+        x = np.append(_points(run), np.int32(_END))
+        at, row = self.occurrences(x)
+        piece, end = v.rank[row].astype(np.int64), at + v.length[row]
+        covered = np.zeros(size + 1, bool)
+        covered[at[v.length[row] == 1]] = True
+        odd = np.nonzero(~covered[:size])[0]
+        at, piece, end = np.concatenate([at, odd]), np.concatenate([piece, np.full(len(odd), -1)]), np.concatenate([end, odd + 1])
+        order = np.argsort(at, kind="stable")
+        last, back = [-3] * (size + 1), [0] * (size + 1)
+        last[0] = -2
+        for lo in range(0, len(order), 1 << 16):
+            part = order[lo : lo + (1 << 16)]
+            for a, q, e in zip(at[part].tolist(), piece[part].tolist(), end[part].tolist(), strict=True):
+                p = last[a]
+                if p != -3 and (p < 0 or q < 0 or self.pair(p << 16 | q)):
+                    last[e], back[e] = q, a
+        out, here = [], size
+        while here:
+            before = back[here]
+            out.append([int(v.ids[last[here]])] if last[here] >= 0 else [v.bytes_ids[b] for b in run[before].encode()])
+            here = before
+        return np.array([i for x in reversed(out) for i in x], np.int32)
 
     def index(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct runs one after another, and the number of each; all are matched at once."""
         v = self.v
-        x = np.frombuffer((_BETWEEN.join(parts) + _BETWEEN).encode("utf-32-le", "surrogatepass"), np.int32)
+        x = _points(_BETWEEN.join(parts) + _BETWEEN)
         cut = x == ord(_BETWEEN)
         x = np.where(cut, _END, x).astype(np.int32)
         stops = np.nonzero(cut)[0]
@@ -264,29 +324,42 @@ class Encoder:
     def pair(self, key: int) -> bool:
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             found = self.pairs[key] = self.v.lasting(key >> 16, key & 65535)
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.hashes) > self.most:
-            self.forget()
+        if not texts:
+            return []
         whole = "".join([f" {t}{_BETWEEN}" if t else _BETWEEN for t in texts]).replace(" ", MARK)
-        x = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.int32)
+        x = _points(whole)
         place = self.v.place[x]
         first = np.ones(len(x), bool)
         first[1:] = ~self.v.beside[place[:-1], place[1:]]
         cuts = np.nonzero(first)[0]
         ends = np.append(cuts[1:], len(x))
-        self.powers(len(x) + 1)
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * self.up[: len(x)], out=sums[1:])
         stop = x[cuts] == ord(_BETWEEN)
         text_of = (np.cumsum(stop) - stop)[~stop]
         cuts, ends = cuts[~stop], ends[~stop]
-        hashes = mix((sums[ends] - sums[cuts]) * self.down[cuts] + (ends - cuts).astype(np.uint64))
+        edges = np.append(np.nonzero(np.diff(cuts // WINDOW, prepend=-1))[0], len(cuts))
+        done = [self.runs(x, whole, cuts[lo:hi], ends[lo:hi]) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        ids = np.concatenate([i for i, _ in done]) if done else np.zeros(0, np.int32)
+        count = np.concatenate([c for _, c in done]) if done else np.zeros(0, np.int64)
+        each = np.bincount(text_of, weights=count, minlength=len(texts)).astype(np.int64)
+        return np.split(ids, np.cumsum(each)[:-1])
+
+    def runs(self, x: np.ndarray, whole: str, cuts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs one after another, and the number of each."""
+        if 4 * (len(self.ids) + len(self.text)) + 40 * len(self.hashes) > self.most:
+            self.forget()
+        base, n = cuts[0], ends - cuts
+        part, a, b = x[base : ends[-1]], cuts - cuts[0], ends - cuts[0]
+        self.powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[: len(part)], out=sums[1:])
+        hashes = self.hash((sums[b] - sums[a]) * self.down[a] + n.astype(np.uint64))
         seen, sample, run = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, seen)
         new = np.ones(len(seen), bool)
@@ -296,10 +369,23 @@ class Encoder:
             self.learn(seen[new], [whole[i:j] for i, j in zip(cuts[picked].tolist(), ends[picked].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, seen)
         at = at[run]
-        count = self.count[at]
-        ids = self.ids[_gather(self.start[at], count)]
-        each = np.bincount(text_of, weights=count, minlength=len(texts)).astype(np.int64)
-        return np.split(ids, np.cumsum(each)[:-1]) if texts else []
+        start, count, ids = self.start[at], self.count[at], self.ids
+        same = self.size[at] == n
+        held = np.nonzero(same)[0]
+        differ = part[_gather(a[held], n[held])] != self.text[_gather(self.text_at[at[held]], n[held])]
+        if differ.any():
+            same[np.repeat(held, n[held])[differ]] = False
+        other = np.nonzero(~same)[0]
+        if len(other):  # of the hash of another run
+            runs = [whole[i:j] for i, j in zip(cuts[other].tolist(), ends[other].tolist(), strict=True)]
+            number = {r: k for k, r in enumerate(dict.fromkeys(runs))}
+            found, each = self.matched(list(number))
+            which = np.array([number[r] for r in runs])
+            start[other], count[other] = (len(ids) + np.cumsum(each) - each)[which], each[which]
+            ids = np.concatenate([ids, found])
+        return ids[_gather(start, count)], count
+
+    hash = staticmethod(mix)
 
     def decode(self, ids: np.ndarray) -> bytes:
         v = self.v
@@ -312,11 +398,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = Vocabulary(model)
 
     def work():
-        # a reused Python worker goes on with what its earlier tasks have learnt; ``most`` bounds it
-        import sys
-
-        kept = sys.__dict__.setdefault("_siltstone_encoders", {})
-        encoder = kept.get(model) or kept.setdefault(model, Encoder(vocabulary))
+        encoder = Encoder(vocabulary)
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -338,4 +420,4 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -35,12 +35,40 @@ def test_encode_equals_the_library(spark, model, vocabulary):
 def test_encoder_forgets(model, vocabulary):
     """A small memory changes nothing."""
     rng = random.Random(1)
-    encoder = pieces.Encoder(vocabulary, most=50)
+    encoder = pieces.Encoder(vocabulary, most=2000)
     for _ in range(4):
         texts = [sentence(rng, 40) for _ in range(20)]
         assert [x.tolist() for x in encoder.encode(texts)] == model.encode(texts)
 
 
+def test_runs_of_equal_hash(model, vocabulary, monkeypatch):
+    """A text whose run hashes like a known one is encoded by itself: words that collide for every odd base, and a hash
+    that tells nothing apart."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    texts = [word, other, f"{word} {other}", other[:-1]]
+    encoder = pieces.Encoder(vocabulary)
+    got = encoder.encode(texts)
+    assert [x.tolist() for x in got] == model.encode(texts) and [encoder.decode(i).decode() for i in got] == texts
+    monkeypatch.setattr(pieces.Encoder, "hash", staticmethod(lambda x: x % np.uint64(5)))
+    texts = ["the red fox", "a fox the red", "xed the", "", "é the fox \U0001f600"] * 2
+    encoder = pieces.Encoder(vocabulary)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == model.encode(texts)
+
+
+def test_long_runs(model, vocabulary, monkeypatch):
+    """Runs without a place to cut them, and texts of several windows."""
+    rng = random.Random(2)
+    texts = ["x" * 100_000, "ab" * 30_000, "".join(rng.choice("abcdeint") for _ in range(60_000)), "=" * 40_000, " " * 30_000, "7" * 20_000, "".join(rng.choice("日本語\U0001f600") for _ in range(5000))]
+    assert [x.tolist() for x in pieces.Encoder(vocabulary).encode(texts)] == model.encode(texts)
+    monkeypatch.setattr(pieces, "WINDOW", 64)
+    texts = [sentence(rng, 200), *ODD]
+    assert [x.tolist() for x in pieces.Encoder(vocabulary).encode(texts)] == model.encode(texts)
+
+
 def test_decode(model, vocabulary):
     encoder = pieces.Encoder(vocabulary)
     for text, ids in zip(ODD, encoder.encode(ODD), strict=True):
@@ -79,6 +107,24 @@ def test_escape():
         assert chat.unescape(safe) == text and not any(m in safe for m in chat.MARKS)
 
 
+def test_white_space_is_cut_exactly():
+    """Around the length from which runs are cut out, and with every kind of white space."""
+    coder, rng = chat.Coder(), random.Random(4)
+    kinds = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2003\u2028\u202f\u3000\x1c\u200b"
+    for n in (4095, 4096, 5000):
+        for tail in ("", "word", "7", "=", "\n", "\u3000x", "\x1cx"):
+            for run in (" " * n, "\n" * n, "".join(rng.choice(kinds) for _ in range(n))):
+                text = f"head{run}{tail} end{run}"
+                assert coder.ids(text) == coder.plain.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("char", [" ", "\n", "\u3000", "a", "é", "7", "=", "\U0001f600", "[INST] "])
+def test_very_long_turns(char):
+    text = char * (2_000_000 // len(char)) + "x"
+    coder = chat.Coder()
+    assert chat.unescape(coder.plain.decode_bytes(coder.ids(chat.escape(text))).decode()) == text
+
+
 def brute(rows):
     convs = {}
     for conv, turn, role, text in rows:
