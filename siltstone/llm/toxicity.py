@@ -6,16 +6,20 @@ A word (lower-cased, outer punctuation removed) is hashed to one of ``WORDS`` ro
 values into a score. For scoring, table times filter is multiplied out once, so a position costs a few row additions.
 
 Training uses at most ``MOST_EACH`` labelled rows of each class, in order of a hash of their id, from those with
-crc32(doc_id) mod 3 not 1; every eighth of them is held back for calibration: the logits are shifted and scaled so
-that the best threshold is ``CUT`` for all texts, and for each language a threshold of its own is taken from the rows
-of that language (the common one where there are fewer than ``LEAST_LANG``). The score itself sees only the text.
+crc32(doc_id) mod 3 not 1; of each language and class the first and then every ``BACK``-th row is held back for
+calibration: the logits are shifted so that the best threshold is ``CUT`` for all texts, and for each language a
+threshold of its own is taken from the held-back rows of that language (the common one where a class has fewer than
+``LEAST_LANG`` of them). The score itself sees only the text.
 
-Defined results: null, empty or blank text pools to zeros and gets the score of that; without labelled rows of both
+Defined results: an id that is labelled more than once is toxic if any of its labels says so, and the order of label
+rows and of repeated documents changes nothing; null, empty or blank text pools to zeros and gets the score of that; without labelled rows of both
 classes every score is 0; a null language has the common threshold; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +32,7 @@ WORDS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 MOST_EACH, EPOCHS, LEAST_STEPS, RATE = 2500, 5, 500, 0.01
 LEAST_TEXTS = 4  # words in fewer training texts than this share the zero row: they say nothing, and can't be learnt by heart
 STEM = 4
-CUT, LEAST_LANG = 0.7, 60
+CUT, LEAST_LANG, BACK = 0.7, 5, 5
 PARTS, OUT = 3, 1
 _TRIM = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
@@ -57,8 +61,45 @@ class Model:
             self.p[f"w{w}"] = rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32)
         self.scale, self.shift = 1.0, 0.0
 
+    def gradients(self, batch: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Of the summed logistic loss of (word rows, stem rows, label): dense ones by name, then touched table rows and theirs.
+
+        Only the positions of the maxima carry gradients.
+        """
+        p = self.p
+        grads = {k: np.zeros_like(x) for k, x in p.items() if k != "e"}
+        touched, pulled = [np.zeros(0, np.int64)], [np.zeros((0, DIM), np.float32)]
+        for ids, stems, label in batch:
+            x = p["e"][ids] + p["e"][stems]
+            pooled, where = np.zeros((len(WIDTHS), FILTERS), p["e"].dtype), []
+            for j, w in enumerate(WIDTHS):
+                n = len(ids) - w + 1
+                where.append(None)
+                if n > 0:
+                    z = sum(x[o : o + n] @ p[f"w{w}"][o] for o in range(w)) + p["b"][j]
+                    at = z.argmax(axis=0)
+                    pooled[j] = np.maximum(z[at, range(FILTERS)], 0)
+                    where[j] = at
+            logit = float((pooled * p["v"]).sum() + p["c"][0])
+            d = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label
+            grads["c"] += d
+            grads["v"] += d * pooled
+            dz = d * p["v"] * (pooled > 0)
+            for j, w in enumerate(WIDTHS):
+                if where[j] is not None:
+                    grads["b"][j] += dz[j]
+                    for o in range(w):
+                        hit = where[j] + o
+                        grads[f"w{w}"][o] += x[hit].T * dz[j]
+                        touched += [ids[hit], stems[hit]]
+                        pulled += [p[f"w{w}"][o].T * dz[j][:, None]] * 2
+        rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+        g = np.zeros((len(rows), DIM), p["e"].dtype)
+        np.add.at(g, inverse, np.concatenate(pulled))
+        return grads, rows, g
+
     def train(self, rows: list[np.ndarray], labels: np.ndarray, seed: int = 6) -> None:
-        """Adam on logistic loss; only max positions carry gradients."""
+        """Adam on logistic loss."""
         rng, p = np.random.default_rng(seed), self.p
         split = [(r % WORDS, r // WORDS) for r in rows]
         held = np.bincount(np.concatenate([np.unique(np.concatenate(r)) for r in split]), minlength=WORDS)
@@ -69,47 +110,17 @@ class Model:
         for _ in range(max(EPOCHS, -(-LEAST_STEPS * 32 // max(len(rows), 1)))):
             order = rng.permutation(len(rows))
             for lo in range(0, len(order), 32):
-                grads = {k: np.zeros_like(x) for k, x in p.items() if k != "e"}
-                touched, pulled = [], []
-                for k in order[lo : lo + 32].tolist():
-                    ids, stems = split[k]
-                    x = p["e"][ids] + p["e"][stems]
-                    pooled, where = np.zeros((len(WIDTHS), FILTERS), np.float32), []
-                    for j, w in enumerate(WIDTHS):
-                        n = len(ids) - w + 1
-                        where.append(None)
-                        if n > 0:
-                            z = sum(x[o : o + n] @ p[f"w{w}"][o] for o in range(w)) + p["b"][j]
-                            at = z.argmax(axis=0)
-                            pooled[j] = np.maximum(z[at, range(FILTERS)], 0)
-                            where[j] = at
-                    logit = float((pooled * p["v"]).sum() + p["c"][0])
-                    d = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[k]
-                    grads["c"] += d
-                    grads["v"] += d * pooled
-                    dz = d * p["v"] * (pooled > 0)
-                    for j, w in enumerate(WIDTHS):
-                        if where[j] is not None:
-                            grads["b"][j] += dz[j]
-                            for o in range(w):
-                                hit = where[j] + o
-                                grads[f"w{w}"][o] += x[hit].T * dz[j]
-                                touched += [ids[hit], stems[hit]]
-                                pulled += [p[f"w{w}"][o].T * dz[j][:, None]] * 2
+                grads, hit, g = self.gradients([(*split[k], labels[k]) for k in order[lo : lo + 32].tolist()])
                 step += 1
                 rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, g in grads.items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
+                for k, d in grads.items():
+                    m[k] = 0.9 * m[k] + 0.1 * d
+                    v[k] = 0.999 * v[k] + 0.001 * d * d
                     p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-6)).astype(np.float32)
-                if touched:
-                    hit, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                    g = np.zeros((len(hit), DIM), np.float32)
-                    np.add.at(g, inverse, np.concatenate(pulled))
-                    hit, g = hit[~rare[hit]], g[~rare[hit]]
-                    m["e"][hit] = 0.9 * m["e"][hit] + 0.1 * g
-                    v["e"][hit] = 0.999 * v["e"][hit] + 0.001 * g * g
-                    p["e"][hit] -= rate * m["e"][hit] / (np.sqrt(v["e"][hit]) + 1e-6)
+                hit, g = hit[~rare[hit]], g[~rare[hit]]
+                m["e"][hit] = 0.9 * m["e"][hit] + 0.1 * g
+                v["e"][hit] = 0.999 * v["e"][hit] + 0.001 * g * g
+                p["e"][hit] -= rate * m["e"][hit] / (np.sqrt(v["e"][hit]) + 1e-6)
         self.fold()
 
     def fold(self) -> None:
@@ -147,7 +158,7 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str | None, float]]:
     """Model and thresholds by language (None: common) from a bounded sample of labelled rows."""
-    known = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").dropDuplicates(["doc_id"]).where(split_number(F.col("doc_id"), PARTS) != OUT)
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(split_number(F.col("doc_id"), PARTS) != OUT)
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = known.where("toxic = 1").orderBy(*order).limit(MOST_EACH).union(known.where("toxic = 0").orderBy(*order).limit(MOST_EACH))
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # 2 * MOST_EACH rows
@@ -162,12 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str | No
         return handle
 
     found = per_batch(sample.selectExpr("cast(doc_id as string) doc_id", "text", "lang", "cast(toxic as int) toxic"), work, "doc_id string, lang string, toxic int, ids binary", 256).collect()
-    found.sort(key=lambda r: (xxhash.xxh64_intdigest(r.doc_id), r.doc_id))
+    found.sort(key=lambda r: (xxhash.xxh64_intdigest(r.doc_id), r.doc_id, r.ids, r.lang or ""))
     rows = [np.frombuffer(r.ids, np.uint32).astype(np.int64) for r in found]
     y = np.array([float(r.toxic) for r in found])
     if not len(y) or y.min() == y.max():
         return None, {None: CUT}
-    kept = np.arange(len(rows)) % 8 == 0
+    kept, nth = np.zeros(len(rows), bool), Counter()
+    for k, r in enumerate(found):
+        kept[k] = nth[r.lang, r.toxic] % BACK == 0
+        nth[r.lang, r.toxic] += 1
     if y[kept].min() == y[kept].max():
         kept[:] = True
     model = Model()
@@ -179,9 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, dict[str | No
     scores = np.array([model.score(rows[k]) for k in held])
     cuts: dict[str | None, float] = {None: CUT}
     langs = np.array([found[k].lang or "" for k in held])
-    for lang in set(langs) - {""}:
+    for lang in sorted(set(langs.tolist()) - {""}):
         own = langs == lang
-        if own.sum() >= LEAST_LANG and 0 < y[held][own].sum() < own.sum():
+        if min(y[held][own].sum(), (1 - y[held][own]).sum()) >= LEAST_LANG:
             cuts[lang] = float(np.clip(1 / (1 + np.exp(-_best_cut(np.log(scores[own] / (1 - scores[own])), y[held][own]))), 0.05, 0.95))
     return model, cuts
 
