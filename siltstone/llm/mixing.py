@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks, native.
 
 Each source is a stream of words: its documents in an order drawn from seeded MD5 keys, cut into blocks of equal
-length. The blocks of the mix are apportioned to sources by the Sainte-Lague method. Its highest quotients
-t/1, t/3, t/5, ... down to a divisor are exactly those of round(t / divisor) seats, so with the block length as the
-divisor no list of quotients is sorted: the seats of a source are round(target / block), and the house is their sum.
-Shard j of the output gets the seats of the first j+1 shares less those of the first j, integer quotas that add up.
-A source with q seats and b blocks takes each block q div b times and q mod b seeded blocks once more. What the pipeline
-puts out of a document are the words of its chosen blocks, ``taken`` words in all.
+length; in a source of fewer than ``FINE`` such blocks they shrink, down to a word, so that small sources meet their
+targets too. The blocks of the mix are apportioned to sources by the Sainte-Lague method, for each output shard: its
+highest quotients t/1, t/3, t/5, ... down to a divisor are exactly those of round(t / divisor) seats, so with the block
+length as the divisor no list of quotients is sorted. The first j shards have round(target * j / shards / block) seats
+of a source, and ``quotas`` holds the integer quota of each shard; they add up to the source's seats. The seats of a
+source are numbered shard by shard, and seat k takes the block that a seeded permutation puts at place k modulo the
+number of blocks, so no block is taken more than once oftener than another. What the pipeline puts out of a document
+are the words of its chosen blocks, ``taken`` words in all.
 
 The prefix sums of a stream are taken in buckets of the seeded key (a window for each source and bucket, over about
 256 documents), so no source, however large, meets in one task. Equal rows are counted first and told apart by a
@@ -29,7 +31,8 @@ SHARE = 1.5
 MOST = 2
 #: A prime above every number of blocks; times b modulo the number of blocks it permutes the blocks.
 PRIME = 2147483647
-LEAST_BLOCK, BLOCKS = 64, 1 << 20
+LEAST_BLOCK, BLOCKS, FINE = 64, 1 << 20, 128
+SHARDS = 16
 SEED = 11
 
 
@@ -55,27 +58,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def quotas(planned: DataFrame, block: str, shards: int = 16) -> DataFrame:
-    """(source, shard, seats): the integer quota of every shard; they add up to round(target / block)."""
-    seats = lambda j: F.floor(F.col("target") * j / shards / F.col(block) + 0.5).cast("long")
-    each = planned.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    return each.select("source", "shard", (seats(F.col("shard") + 1) - seats(F.col("shard"))).alias("seats"))
+def plan(sizes: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """The sources with block length, number of blocks, the quotas of all shards, their sum and the seeded offset of the selection.
 
-
-def plan(sizes: DataFrame, seed: int = SEED) -> DataFrame:
-    """The sources with block length, seats, number of blocks and the seeded offset of their selection."""
-    t = targets(sizes).withColumn("block", F.greatest(F.lit(LEAST_BLOCK), F.floor(F.sum("source_size").over(W.partitionBy()) / BLOCKS)).cast("long"))
+    ``edges`` holds where the seats of each shard begin, and last the number of all.
+    """
+    common = F.greatest(F.lit(LEAST_BLOCK), F.floor(F.sum("source_size").over(W.partitionBy()) / BLOCKS))
+    t = targets(sizes).withColumn("block", F.greatest(F.lit(1), F.least(common, F.floor(F.col("source_size") / FINE))).cast("long"))
     t = t.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    edge = lambda j: F.least(F.floor(F.col("target") * j / shards / F.col("block") + 0.5).cast("long"), F.col("n_blocks") * MOST)
+    t = t.withColumn("edges", F.transform(F.sequence(F.lit(0), F.lit(shards)), edge))
+    t = t.withColumn("quotas", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.get("edges", j + 1) - F.get("edges", j)))
+    t = t.withColumn("seats", F.aggregate("quotas", F.lit(0).cast("long"), lambda acc, q: acc + q))
     name = F.concat_ws("|", F.lit(str(seed)), F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
-    t = t.withColumn("seats", F.least(F.floor(F.col("target") / F.col("block") + 0.5).cast("long"), F.col("n_blocks") * MOST))
     return t.withColumn("offset", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"))
 
 
 def _spread(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, bool]:
     """Every row's id, source, size, copy number, whole takes ``_times`` and passages ``_runs`` taken once more.
 
-    A passage (``at``, ``n``) is a run of chosen blocks within the document, in words. With it goes whether any rows
-    agree in id, source and size.
+    A passage (``at``, ``n``) is a run of chosen blocks within the document, in words. ``_parts`` has the words that each
+    seat takes of the document, with the seat's shard. With it goes whether any rows agree in id, source and size.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
     grouped = checkpoint(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n")))
@@ -95,7 +98,8 @@ def _spread(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     start, end = F.col("_base") + F.col("_end") - F.col("size"), F.col("_base") + F.col("_end")
     placed = placed.withColumns({"_start": start, "_stop": end})
     block = F.col("block")
-    extra = lambda b: (b * PRIME + F.col("offset")) % F.col("n_blocks") < F.col("seats") % F.col("n_blocks")
+    place = lambda b: (b * PRIME + F.col("offset")) % F.col("n_blocks")
+    extra = lambda b: place(b) < F.col("seats") % F.col("n_blocks")
     first, last = F.floor(F.col("_start") / block), F.floor((F.col("_stop") - 1) / block)
     spans = F.sequence(first, last)
     opens = F.filter(spans, lambda b: extra(b) & ((b == first) | ~extra(b - 1)))
@@ -105,21 +109,30 @@ def _spread(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
         at = F.greatest(F.col("_start"), b * block)
         return F.struct((at - F.col("_start")).alias("at"), (F.least(F.col("_stop"), (e + 1) * block) - at).alias("n"))
 
+    def seats_of(b):
+        """A seat for each time that the block is taken: its shard, and the words that lie in the document."""
+        n = F.least(F.col("_stop"), (b + 1) * block) - F.greatest(F.col("_start"), b * block)
+        shard = lambda seat: (F.size(F.filter("edges", lambda e: e <= seat)) - 1).cast("int")
+        turns = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST)), lambda m: place(b) + m * F.col("n_blocks")), lambda seat: seat < F.col("seats"))
+        return F.transform(turns, lambda seat: F.struct(shard(seat).alias("shard"), n.alias("n")))
+
     some = F.col("size") > 0
     times = F.when(some, F.floor(F.col("seats") / F.col("n_blocks")).cast("int")).otherwise(0)
     runs = F.when(some, F.zip_with(opens, ends, run)).otherwise(F.expr("cast(array() as array<struct<at: bigint, n: bigint>>)"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "_copy", times.alias("_times"), runs.alias("_runs")), not grouped.where("_n > 1").isEmpty()
+    parts = F.when(some, F.flatten(F.transform(spans, seats_of))).otherwise(F.expr("cast(array() as array<struct<shard: int, n: bigint>>)"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "_copy", times.alias("_times"), runs.alias("_runs"), parts.alias("_parts")), not grouped.where("_n > 1").isEmpty()
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken and copies.
+    """One row per input row: doc_id, source, size, source_size, target, taken, copies and parts.
 
-    ``taken`` counts the words that chosen blocks hold of the document, ``copies`` the records of ``take`` that hold them.
+    ``taken`` counts the words that the seats take of the document, ``parts`` has them by seat with the seat's shard, and
+    ``copies`` counts the records of ``take`` that hold them.
     """
     spread, _ = _spread(df, id_col, text_col, source_col, seed)
-    taken = F.col("_times") * F.col("size") + F.aggregate("_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["n"])
+    taken = F.aggregate("_parts", F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
     copies = (F.col("_times") + (F.size("_runs") > 0).cast("int")).cast("long")
-    return spread.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    return spread.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), F.col("_parts").alias("parts"))
 
 
 def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -142,18 +155,6 @@ def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     return out.select(F.col("_rec").withField(f"`{text_col}`", F.col("_text")).alias("_rec")).select("_rec.*")
 
 
-def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """Whole records of ``df``, all columns, each as often as ``take`` has records of it: more words than targeted.
-
-    Records that agree in id, source and size share their copies out evenly, rounded up. The pipeline uses ``take``.
-    """
-    keys = ["_k1", "_k2", "_k3"]
-    chosen = mix(df, id_col, text_col, source_col, seed).groupBy(F.col("doc_id").alias("_k1"), F.col("source").alias("_k2"), F.col("size").alias("_k3")).agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_rec"), F.col(id_col).alias("_d1"), F.col(source_col).alias("_d2"), F.size(words(F.col(text_col))).cast("long").alias("_d3"))
-    same = [F.col(f"_d{k[-1]}").eqNullSafe(F.col(k)) for k in keys]
-    return rows.join(chosen, same).select("_rec", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("_rec.*")
-
-
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -169,7 +170,7 @@ s3 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE)
          / CAST(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM s2),
 f AS (SELECT ratio AS fr, lev AS fl FROM s3 WHERE lev < ratio ORDER BY 1, 2 LIMIT 1),
 s4 AS (SELECT source, source_size, CASE WHEN fr IS NULL OR ratio < fr THEN CAST(cap AS DOUBLE) ELSE fl * CAST(w AS DOUBLE) END AS target,
-         greatest({LEAST_BLOCK}, CAST(sum(source_size) OVER () AS BIGINT) // {BLOCKS}) AS block FROM s3 LEFT JOIN f ON true),
+         greatest(1, least(greatest({LEAST_BLOCK}, CAST(sum(source_size) OVER () AS BIGINT) // {BLOCKS}), source_size // {FINE})) AS block FROM s3 LEFT JOIN f ON true),
 s5 AS (SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS nb,
          CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END)), 1, 8)) AS BIGINT) AS off FROM s4),
 s6 AS (SELECT *, least(CAST(floor(target / block + 0.5) AS BIGINT), 2 * nb) AS seats FROM s5),

@@ -105,29 +105,43 @@ def test_mix(odd):
         assert 0 <= r.taken <= 2 * r["size"]
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 2 * mixing.LEAST_BLOCK for s in want)
-    assert Counter(map(tuple, mixing.mix(odd.repartition(3)).collect())) == Counter(map(tuple, got))
+    assert Counter(map(repr, mixing.mix(odd.repartition(3)).collect())) == Counter(map(repr, got))
 
 
 def test_quotas_are_the_highest_quotients(spark):
-    sizes = spark.createDataFrame([("a", 50_000), ("b", 3_000), ("c", 20_000), (None, 7_000)], "source string, source_size long")
-    planned = mixing.plan(sizes)
-    seats = {r.source: r.seats for r in planned.collect()}
-    t = {r.source: r.target for r in planned.collect()}
-    house = sorted(((t[s] / (2 * k + 1), s) for s in t for k in range(3000)), key=lambda x: -x[0])[: sum(seats.values())]
-    assert Counter(s for _, s in house) == {s: n for s, n in seats.items() if n}
-    shards = mixing.quotas(planned, "block").groupBy("source").sum("seats").collect()
-    assert {r.source: r["sum(seats)"] for r in shards} == seats
-
-
-def test_resample(odd, empty):
-    got = mixing.resample(odd)
-    assert got.columns == odd.columns and mixing.resample(empty).count() == 0 and mixing.mix(empty).count() == 0
-    copies = defaultdict(int)
-    for r in mixing.mix(odd).collect():
-        copies[(r.doc_id, r.source, r["size"])] += r.copies
-    held = Counter((r.doc_id, r.source, len(words(r.text))) for r in got.collect())
-    n = Counter((r.doc_id, r.source, len(words(r.text))) for r in odd.collect())
-    assert held == {k: n[k] * math.ceil(v / n[k]) for k, v in copies.items() if v}
+    sizes = spark.createDataFrame([("a", 50_000), ("b", 20_000), ("c", 30_000), (None, 9_000)], "source string, source_size long")
+    planned = mixing.plan(sizes).collect()
+    block, t = {r.block for r in planned}, {r.source: r.target for r in planned}
+    assert block == {mixing.LEAST_BLOCK}
+    for upto in (1, 5, mixing.SHARDS):  # the house of the first shards, by the quotients of their share of the targets
+        seats = {r.source: sum(r.quotas[:upto]) for r in planned}
+        house = sorted(((t[s] * upto / mixing.SHARDS / (2 * k + 1), s) for s in t for k in range(3000)), key=lambda x: -x[0])[: sum(seats.values())]
+        assert Counter(s for _, s in house) == {s: n for s, n in seats.items() if n}
+    assert all(r.edges[-1] == r.seats == sum(r.quotas) for r in planned)
+
+
+def test_small_sources_and_shards(spark):
+    """A source of ten words gets its twenty, and every shard takes its quota of every source."""
+    rng = __import__("random").Random(6)
+    rows = [(k, " ".join("w" for _ in range(rng.randrange(1, 400))), "abc"[k % 3]) for k in range(300)] + [(1000, "one two three four five six", None), (1001, "seven eight nine ten", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df).collect()
+    taken, by_shard = Counter(), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        for p in r.parts:
+            by_shard[r.source, p.shard] += p.n
+    planned = {r.source: r for r in mixing.plan(spark.createDataFrame([(r.source, r.source_size) for r in got], "source string, source_size long").distinct()).collect()}
+    assert planned[None].target == 20 and taken[None] == 20
+    assert all(abs(taken[s] - r.target) <= 0.02 * r.target for s, r in planned.items())
+    for s, r in planned.items():
+        for j, q in enumerate(r.quotas):
+            short = r.n_blocks * r.block - r.source_size  # the last block may hold fewer words
+            assert q * r.block - 2 * short <= by_shard[s, j] <= q * r.block
+
+
+def test_mix_empty(empty):
+    assert mixing.mix(empty).count() == 0
 
 
 def test_take_puts_out_what_is_taken(spark, odd, empty):
