@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
 from ..errors import StoreCodecError
 
 #: id -> (name, Parquet codec); ids 0 to 7 as there are three bits for them.
@@ -34,3 +38,19 @@ class CodecTable:
         """(id, Parquet codec): a field's own choice, "none" included, beats the writer's default."""
         codec_id = self.id_of(field or default or "none")
         return codec_id, self._by_id[codec_id][1]
+
+
+class HookTable:
+    """Layouts and encoders of one's own: a named pair of frame transformations, applied to a field's table when it is
+    written and when it is read. Writer and reader are given the same table; the manifest holds the names."""
+
+    def __init__(self) -> None:
+        self._by_name: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]] = {}
+
+    def register(self, name: str, encode: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame]) -> None:
+        self._by_name[name] = (encode, decode)
+
+    def get(self, name: str) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+        if name not in self._by_name:
+            raise StoreCodecError(f"unknown hook {name!r}")
+        return self._by_name[name]

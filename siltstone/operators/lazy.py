@@ -5,10 +5,12 @@ Each promise wraps a DataFrame, so column pruning, filter pushdown and partition
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import StoreFormatError
@@ -18,11 +20,21 @@ from ..sources.schema import INLINE, MAP, RECORD, VECTOR, Field, Record
 POS, SHARD, KEY, BUCKET, VALUE = "pos", "shard", "k", "bucket", "value"
 
 
-class ValuePromise:
-    """One heavy value."""
+class _Planned:
+    """A promise's plan, made when it is first asked for: making a promise touches no file."""
+
+    def __init__(self, df: DataFrame | Callable[[], DataFrame]):
+        self._plan = df
+
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._plan, DataFrame):
+            self._plan = self._plan()
+        return self._plan
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+
+class ValuePromise(_Planned):
+    """One heavy value."""
 
     def load(self) -> Any:
         rows = self.df.take(2)
@@ -63,15 +75,22 @@ def mirror_of_row(spec: Record | None, row: Any, heavy: DataFrame) -> Any:
         elif f.kind == MAP:
             promises[name] = MapPromise(_spread(heavy.select(F.explode(name).alias(KEY, VALUE)), f), _spec(f))
         elif f.kind == RECORD:
-            inner = heavy.select(f"{name}.*")
-            names = f.type.inline()
-            found = inner.select(*names).first() if names else {}
-            promises[name] = mirror_of_row(f.type, found, inner)
+            promises[name] = mirror_of_row(f.type, row[name], heavy.select(f"{name}.*"))  # its inline fields came with the row
         elif f.kind != INLINE:
             promises[name] = ValuePromise(heavy.select(name))
     return RecordMirror(spec, {n: row[n] for n in spec.inline()}, promises)
 
 
+def light(spec: Record, of: str = "") -> list[Column]:
+    """The inline fields of a record, those of nested records in structs."""
+    out = [F.col(f"{of}`{n}`") for n in spec.inline()]
+    for name, f in spec.fields.items():
+        if f.kind == RECORD:
+            inner = light(f.type, f"{of}`{name}`.")
+            out.append((F.struct(*inner) if inner else F.lit(None).cast("string")).alias(name))
+    return out
+
+
 def _spec(f: Field) -> Record | None:
     return f.type if isinstance(f.type, Record) else None
 
@@ -81,25 +100,42 @@ def _spread(df: DataFrame, f: Field) -> DataFrame:
     return df.select(*[c for c in df.columns if c != VALUE], f"{VALUE}.*") if _spec(f) else df
 
 
-class CollectionPromise:
+#: Positions below this are found by a bounded top-k; others need the positions of all rows.
+NEAR = 10_000
+
+
+class CollectionPromise(_Planned):
     """An ordered collection: a plan with ``pos``, and ``shard`` where it is stored."""
 
-    def __init__(self, df: DataFrame, spec: Record | None = None, count: int | None = None, shard_items: int | None = None):
-        self.df, self.spec, self._count, self.shard_items = df, spec, count, shard_items
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], spec: Record | None = None, count: int | None = None, shard_items: int | None = None, raw: DataFrame | None = None, order_by: list[str | Column] = ()):
+        super().__init__(df)
+        self.spec, self._count, self.shard_items = spec, count, shard_items
+        self._raw, self._order = raw, [F.col(c) if isinstance(c, str) else c for c in order_by]
 
     @classmethod
     def of(cls, df: DataFrame, order_by: list[str | Column], spec: Record | None = None) -> CollectionPromise:
-        """A collection over any frame with a total order."""
+        """A collection over any frame with a total order. Positions are made for what needs them alone."""
         from .positions import with_positions
 
-        return cls(with_positions(df, order_by), spec)
+        return cls(lambda: with_positions(df, order_by), spec, raw=df, order_by=order_by)
+
+    def _head(self, n: int) -> DataFrame:
+        """The first n rows with their positions: n rows of each task at most are sorted together."""
+        top = self._raw.orderBy(*self._order).limit(n)
+        return top.withColumn(POS, (F.row_number().over(W.orderBy(*self._order)) - 1).cast("long")).select(POS, *self._raw.columns)
 
     def _columns(self, heavy: bool) -> list[str]:
         rest = [c for c in self.df.columns if c not in (POS, SHARD)]
         return rest if heavy or self.spec is None else [c for c in rest if self.spec.fields[c].kind == INLINE]
 
+    def _light(self) -> list[Column]:
+        return light(self.spec) if self.spec is not None else [F.col(c) for c in self._columns(False)]
+
     def at(self, *positions: int) -> DataFrame:
         """Rows at positions; the shards they lie in prune partitions."""
+        wanted = F.col(POS).isin([int(p) for p in positions])
+        if self._raw is not None and max(positions) < NEAR:
+            return self._head(int(max(positions)) + 1).where(wanted)
         found = self.df.where(F.col(POS).isin([int(p) for p in positions]) if len(positions) > 1 else F.col(POS) == int(positions[0]))
         if self.shard_items:
             found = found.where(F.col(SHARD).isin(sorted({int(p) // self.shard_items for p in positions})))
@@ -109,14 +145,21 @@ class CollectionPromise:
         """All items in full, with positions; a distributed frame, unordered."""
         return self.df.select(POS, *self._columns(True))
 
+    def items(self) -> DataFrame:
+        """All items in full, unordered and without positions: a plain scan."""
+        return self._raw if self._raw is not None else self.df.select(*self._columns(True))
+
     def ordered(self) -> DataFrame:
         return self.scan().orderBy(POS)
 
     def load(self) -> list[Any]:
         """All items on the driver, in order; the number is checked against the manifest."""
         rows = self.ordered().collect()
-        if self._count is not None and len(rows) != self._count:
-            raise StoreFormatError(f"{len(rows)} items, the manifest has {self._count}")
+        if self._count is not None:
+            size = self.shard_items or max(self._count, 1)
+            found, want = Counter(r[POS] // size for r in rows), layout.runs(self._count, size)
+            if sorted(found.values(), reverse=True) != [items for items, n in want for _ in range(n)] or len({r[POS] for r in rows}) != self._count:
+                raise StoreFormatError(f"{len(rows)} items in {len(found)} shards, the manifest has {self._count} in {sum(n for _, n in want)}")
         return [r[VALUE] if self.spec is None and VALUE in self.df.columns else {k: v for k, v in r.asDict(True).items() if k != POS} for r in rows]
 
     def get(self, i: int) -> Any:
@@ -131,26 +174,30 @@ class CollectionPromise:
     def get_lazy(self, i: int) -> Any:
         if i < 0 or self._count is not None and i >= self._count:
             raise StoreFormatError(f"index {i} is out of range")
-        rows = self.at(i).select(*(self._columns(False) or [POS])).take(1)
+        rows = self.at(i).select(*(self._light() or [POS])).take(1)
         if not rows:
             raise StoreFormatError(f"index {i} is out of range")
         return mirror_of_row(self.spec, rows[0], self.at(i))
 
     def length(self) -> DataFrame:
-        return self.df.agg(F.count("*").alias("len"))
+        return (self._raw if self._raw is not None else self.df).agg(F.count("*").alias("len"))
 
     def __len__(self) -> int:
         if self._count is None:
-            self._count = self.df.count()
+            self._count = (self._raw if self._raw is not None else self.df).count()
         return self._count
 
     def is_empty(self) -> bool:
-        return self._count == 0 if self._count is not None else self.df.isEmpty()
+        return self._count == 0 if self._count is not None else (self._raw if self._raw is not None else self.df).isEmpty()
 
     def first_row(self) -> DataFrame:
+        if self._raw is not None:
+            return self._raw.orderBy(*self._order).limit(1)
         return self.at(0).select(*self._columns(True))
 
     def last_row(self) -> DataFrame:
+        if self._raw is not None:
+            return self._raw.orderBy(*[c.desc() for c in self._order]).limit(1)
         if self._count is not None:
             return self.at(max(self._count - 1, 0)).select(*self._columns(True))
         return self.df.orderBy(F.col(POS).desc()).limit(1).select(*self._columns(True))
@@ -173,7 +220,7 @@ class CollectionPromise:
 
     def lazy(self) -> DataFrame:
         """Positions and inline fields only."""
-        return self.df.select(*[c for c in (POS, SHARD) if c in self.df.columns], *self._columns(False))
+        return self.df.select(*[c for c in (POS, SHARD) if c in self.df.columns], *self._light())
 
     def load_where(self, condition: Column | str, *heavy: str) -> DataFrame:
         """Filter on inline fields, then load heavy ones of what remains: the filter is pushed to the scan."""
@@ -188,6 +235,8 @@ class CollectionPromise:
         """Extension: items of start <= pos < stop; without clamping, a range beyond the end raises."""
         if start < 0 or stop < start or not clamp and stop > len(self):
             raise StoreFormatError(f"range {start} to {stop} is out of range")
+        if self._raw is not None and stop <= NEAR:
+            return self._head(stop).where((F.col(POS) >= start) & (F.col(POS) < stop)).select(POS, *[c for c in self._raw.columns])
         found = self.df.where((F.col(POS) >= start) & (F.col(POS) < stop))
         if self.shard_items:
             found = found.where((F.col(SHARD) >= start // self.shard_items) & (F.col(SHARD) <= max(stop - 1, start) // self.shard_items))
@@ -198,6 +247,13 @@ class CollectionPromise:
         size = size or self.shard_items or layout.items_per_shard(len(self), 64)
         return self.df.select("*", layout.shard_index(F.col(POS), size).alias("shard_idx"), (F.col(POS) % size).alias("local_idx"))
 
+    def element(self, field: str, i: int) -> Column:
+        """An element of a nested vector of each item; null beyond its end."""
+        return F.get(field, F.lit(i))
+
+    def element_count(self, field: str) -> Column:
+        return F.coalesce(F.size(field), F.lit(0)).cast("long")
+
     def run_table(self, size: int | None = None) -> DataFrame:
         """(item_count, repeat_n): the run-length table of shard sizes."""
         each = self.shards(size).groupBy("shard_idx").agg(F.count("*").alias("item_count"))
@@ -227,11 +283,39 @@ class LazyIterator:
         return mirror_of_row(self.of.spec, row, self.of.at(row[POS]))
 
 
-class MapPromise:
+class ChildrenPromise:
+    """Collections within a collection, as child rows with their owner's key: one plan reads them for all owners.
+
+    ``order_by`` is a total order within an owner. Owners may be many or few; a top-k within each owner is cut on the map
+    side, so a large owner's rows don't meet in one task.
+    """
+
+    def __init__(self, df: DataFrame, owner: list[str], order_by: list[str]):
+        self.df, self.owner, self.order_by = df, owner, order_by
+
+    def at(self, i: int) -> DataFrame:
+        """The child at a position of every owner that has one."""
+        if i < 0:
+            raise StoreFormatError(f"index {i} is out of range")
+        place = F.row_number().over(W.partitionBy(*self.owner).orderBy(*self.order_by))
+        return self.df.withColumn(POS, place).where(F.col(POS) <= i + 1).where(F.col(POS) == i + 1).withColumn(POS, (F.col(POS) - 1).cast("long"))
+
+    def lengths(self, owners: DataFrame) -> DataFrame:
+        """The number of children of every row of ``owners``, none included."""
+        counted = self.df.groupBy(*self.owner).agg(F.count("*").alias("len"))
+        return owners.select(*self.owner).join(counted, self.owner, "left").withColumn("len", F.coalesce("len", F.lit(0)))
+
+    def of(self, owners: DataFrame) -> DataFrame:
+        """The children of ``owners``, with the owners' columns: one step of a path."""
+        return owners.join(self.df, self.owner)
+
+
+class MapPromise(_Planned):
     """A keyed collection: a plan with ``k``, and ``bucket`` where it is stored."""
 
-    def __init__(self, df: DataFrame, spec: Record | None = None, buckets: int | None = None, count: int | None = None):
-        self.df, self.spec, self.buckets, self._count = df, spec, buckets, count
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], spec: Record | None = None, buckets: int | None = None, count: int | None = None):
+        super().__init__(df)
+        self.spec, self.buckets, self._count = spec, buckets, count
 
     @classmethod
     def of(cls, df: DataFrame, key: str, spec: Record | None = None) -> MapPromise:
@@ -268,7 +352,7 @@ class MapPromise:
 
     def get_lazy(self, key: Any) -> Any:
         """A mirror of a key's value, or None."""
-        rows = self.find(key, heavy=False).take(1)
+        rows = self.find(key).select(*(light(self.spec) if self.spec is not None else ["*"])).take(1)
         return mirror_of_row(self.spec, rows[0], self.find(key)) if rows else None
 
     def num_shards(self) -> DataFrame:

@@ -43,6 +43,11 @@ class Files:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength()
 
+    def names(self, path: str) -> list[str]:
+        """What a folder holds; nothing where there is none."""
+        fs, p = self._at(path)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
     def read(self, path: str) -> bytes:
         fs, p = self._at(path)
         if not fs.exists(p):

@@ -1,7 +1,8 @@
 """The store: a folder with a manifest and one Parquet table for each vector, map and heavy value.
 
-The manifest is written last and is the commit mark. Saving builds a new folder beside the old one and renames it, so a
-failed save leaves what was there.
+The manifest is written last and is the commit mark. Saving builds a new folder beside the old one and swaps the two by
+renaming; if the second renaming fails the first is undone, and if the process ends between them, ``Store.open`` finds
+the old folder and puts it back.
 """
 
 from __future__ import annotations
@@ -11,23 +12,26 @@ import io
 import json
 import uuid
 import zipfile
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import StoreCodecError, StoreDecodeError, StoreError, StoreFormatError, StoreIOError
 from ..functions import layout
-from ..functions.codec import CodecTable
+from ..functions.codec import CodecTable, HookTable
 from ..operators.lazy import BUCKET, KEY, POS, SHARD, CollectionPromise, MapPromise, RecordMirror, ValuePromise
 from ..operators.lazy import VALUE as VALUE_COLUMN
 from ..operators.positions import with_positions
 from .schema import INLINE, MAP, RECORD, VALUE, VECTOR, Field, Record, from_json, to_json
-from .shared import Files
+from .shared import Files, checkpoint
 
 MAGIC, VERSION, MANIFEST = "SILT", 4, "manifest.json"
+MOST_BYTES = 1 << 30  # of a record that is serialised on the driver
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,8 @@ class Options:
     shard_items: int | None = None
     buckets: int | None = None
     codecs: CodecTable = field(default_factory=CodecTable)
+    hook_of: dict[str, str] = field(default_factory=dict)  # path of a table -> name of a hook
+    hooks: HookTable = field(default_factory=HookTable)
 
 
 def _pack(value: Any) -> Any:
@@ -77,7 +83,7 @@ class _Plan:
                 self.add(f.type, values[name], me, k, where, f.codec)
             elif f.kind == VALUE:
                 df = self.spark.createDataFrame([(values[name],)], f"{VALUE_COLUMN} {f.spark_type().simpleString()}")
-                self.frames[self.node(me, k, where, VALUE, f.codec, item_count=1)] = df
+                self.keep(self.node(me, k, where, VALUE, f.codec, item_count=1), df)
             elif f.kind == VECTOR:
                 self.vector(f, values[name], me, k, where)
             else:
@@ -89,6 +95,17 @@ class _Plan:
         self.nodes.append({"node_id": len(self.nodes), "parent_id": parent, "ordinal": ordinal, "path": path, "kind": kind, "codec_id": codec_id, "parquet": parquet, **more})
         return len(self.nodes) - 1
 
+    def keep(self, k: int, df: DataFrame, cut: str | None = None) -> None:
+        """A node's frame as it is to be written, its hook applied; ``cut`` names the partition column."""
+        node = self.nodes[k]
+        hook = self.options.hook_of.get(node["path"])
+        if hook:
+            df, node["hook"] = self.options.hooks.get(hook)[0](df), hook
+            if cut and cut not in df.columns:
+                raise StoreFormatError(f"{node['path']}: hook {hook!r} has to keep {cut}")
+        node["schema"] = T.StructType([x for x in df.schema if x.name != cut]).json()
+        self.frames[k] = df
+
     def vector(self, f: Field, value: Any, me: int, k: int, where: str) -> None:
         if isinstance(value, Items):
             names = value.df.columns
@@ -101,11 +118,11 @@ class _Plan:
         n = ordered.count()
         size = self.options.shard_items or max(1, layout.items_per_shard(n, 256, target=layout.FILE_BYTES))
         df = ordered.withColumn(SHARD, F.floor(F.col(POS) / size).cast("int"))
-        self.frames[self.node(me, k, where, VECTOR, f.codec, item_count=n, shard_items=size, runs=layout.runs(n, size), schema=ordered.schema.json())] = df
+        self.keep(self.node(me, k, where, VECTOR, f.codec, item_count=n, shard_items=size, runs=layout.runs(n, size)), df, SHARD)
 
     def map(self, f: Field, value: Any, me: int, k: int, where: str) -> None:
         if isinstance(value, DataFrame):
-            df = value
+            df = checkpoint(value)  # counted, checked and written: an unstable input must not differ between them
             if KEY not in df.columns:
                 raise StoreDecodeError(f"{where}: a map has a key column {KEY}")
         else:
@@ -115,7 +132,9 @@ class _Plan:
         if not df.groupBy(KEY).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
             raise StoreFormatError(f"{where}: a key occurs more than once")
         buckets = self.options.buckets if self.options.buckets and n else layout.num_buckets(n)
-        self.frames[self.node(me, k, where, MAP, f.codec, item_count=n, num_buckets=buckets, schema=df.schema.json())] = df.withColumn(BUCKET, layout.bucket(F.col(KEY), buckets))
+        df = df.withColumn(BUCKET, layout.bucket(F.col(KEY), buckets))
+        filled = {str(r[BUCKET]): r["n"] for r in df.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()}  # MOST_BUCKETS rows at most
+        self.keep(self.node(me, k, where, MAP, f.codec, item_count=n, num_buckets=buckets, filled=filled), df, BUCKET)
 
     def _cells(self, f: Field, v: Any) -> tuple:
         return tuple(v[n] for n in f.type.fields) if isinstance(f.type, Record) else (v,)
@@ -143,10 +162,9 @@ def save(spark: SparkSession, path: str, spec: Record, values: dict[str, Any], o
                 df = df.coalesce(1)
             elif node["kind"] == MAP and node["num_buckets"]:
                 df = df.repartition(node["num_buckets"], BUCKET)
-            if node["kind"] == MAP:
-                df = df.sortWithinPartitions(BUCKET, KEY)
-            elif node["kind"] == VECTOR:
-                df = df.sortWithinPartitions(POS)
+            order = [c for c in {MAP: [BUCKET, KEY], VECTOR: [POS]}.get(node["kind"], []) if c in df.columns]
+            if order:
+                df = df.sortWithinPartitions(*order)
             writer = df.write.option("compression", node["parquet"])
             cut = {MAP: BUCKET, VECTOR: SHARD}.get(node["kind"])
             (writer.partitionBy(cut) if cut else writer).parquet(f"{new}/{node['path']}")
@@ -154,29 +172,55 @@ def save(spark: SparkSession, path: str, spec: Record, values: dict[str, Any], o
     except BaseException:
         files.delete(new)
         raise
-    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    swap(files, new, path.rstrip("/"))
+
+
+def swap(files: Files, new: str, path: str) -> None:
+    """Put ``new`` in the place of ``path``; what was there comes back if that fails."""
+    old = f"{path}.old-{uuid.uuid4().hex}"
     had = files.exists(path)
     if had:
         files.rename(path, old)
-    files.rename(new, path)
+    try:
+        files.rename(new, path)
+    except BaseException:
+        if had:
+            files.rename(old, path)
+        files.delete(new)
+        raise
     if had:
         files.delete(old)
 
 
+def recover(files: Files, path: str) -> None:
+    """Put an old folder back that a save which ended between its two renamings has left."""
+    above, _, name = path.rpartition("/")
+    if files.exists(path) or not above:
+        return
+    for found in sorted(files.names(above)):
+        if found.startswith(f"{name}.old-") and files.exists(f"{above}/{found}/{MANIFEST}"):
+            files.rename(f"{above}/{found}", path)
+            return
+
+
 def save_sync(spark: SparkSession, path: str, spec: Record, values: dict[str, Any], options: Options | None = None) -> None:
     """The same with one task for each table."""
     options = options or Options()
-    save(spark, path, spec, values, Options(options.compression, False, options.shard_items, options.buckets, options.codecs))
+    save(spark, path, spec, values, replace(options, parallel=False))
 
 
 def serialize(spark: SparkSession, spec: Record, values: dict[str, Any], options: Options | None = None) -> bytes:
-    """A small record as bytes: the manifest and an Arrow stream for each table. Everything passes the driver."""
+    """A small record as bytes: the manifest and an Arrow stream for each table. Everything passes the driver, so tables of
+    more than ``MOST_BYTES`` in all are refused."""
     plan = _Plan(spark, options or Options())
     plan.add(spec, values)
-    out = io.BytesIO()
+    out, held = io.BytesIO(), 0
     with zipfile.ZipFile(out, "w") as z:
         for k, df in plan.frames.items():
             table, sink = df.toArrow(), io.BytesIO()
+            held += table.nbytes
+            if held > MOST_BYTES:
+                raise StoreFormatError(f"more than {MOST_BYTES} bytes: save it to a path instead")
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
             z.writestr(f"{k}.arrow", sink.getvalue())
@@ -225,8 +269,8 @@ class Builder:
 class Store:
     """An open store; opening reads the manifest alone."""
 
-    def __init__(self, spark: SparkSession, manifest: dict, tables: dict[int, DataFrame] | None, path: str | None, codecs: CodecTable | None = None):
-        self.spark, self.path, self._tables = spark, path, tables
+    def __init__(self, spark: SparkSession, manifest: dict, tables: dict[int, DataFrame] | None, path: str | None, codecs: CodecTable | None = None, hooks: HookTable | None = None):
+        self.spark, self.path, self._tables, self.hooks = spark, path, tables, hooks or HookTable()
         if not isinstance(manifest, dict) or manifest.get("magic") != MAGIC:
             raise StoreFormatError("the magic word is wrong")
         if manifest.get("format_version") != VERSION:
@@ -239,9 +283,12 @@ class Store:
             raise StoreFormatError(f"the manifest is incomplete: {e}") from e
         for n in self.nodes:
             (codecs or CodecTable()).get(n["codec_id"])
+            if "hook" in n:
+                self.hooks.get(n["hook"])
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, codecs: CodecTable | None = None) -> Store:
+    def open(cls, spark: SparkSession, path: str, codecs: CodecTable | None = None, hooks: HookTable | None = None) -> Store:
+        recover(Files(spark), path.rstrip("/"))
         raw = Files(spark).read(f"{path.rstrip('/')}/{MANIFEST}")
         if not raw:
             raise StoreFormatError("the manifest is empty")
@@ -249,10 +296,10 @@ class Store:
             manifest = json.loads(raw)
         except ValueError as e:
             raise StoreFormatError(f"the magic word is wrong: {e}") from e
-        return cls(spark, manifest, None, path.rstrip("/"), codecs)
+        return cls(spark, manifest, None, path.rstrip("/"), codecs, hooks)
 
     @classmethod
-    def open_bytes(cls, spark: SparkSession, data: bytes, codecs: CodecTable | None = None) -> Store:
+    def open_bytes(cls, spark: SparkSession, data: bytes, codecs: CodecTable | None = None, hooks: HookTable | None = None) -> Store:
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 manifest = json.loads(z.read(MANIFEST))
@@ -262,20 +309,70 @@ class Store:
                         tables[n["node_id"]] = spark.createDataFrame(pa.ipc.open_stream(z.read(f"{n['node_id']}.arrow")).read_all())
         except (zipfile.BadZipFile, KeyError, ValueError, pa.ArrowInvalid) as e:
             raise StoreFormatError(f"no store: {e}") from e
-        return cls(spark, manifest, tables, None, codecs)
+        return cls(spark, manifest, tables, None, codecs, hooks)
 
     # --- the record ---
 
     def table(self, node: dict) -> DataFrame:
-        """The plan of a node's table; nothing is read yet."""
-        if self._tables is not None:
-            return self._tables[node["node_id"]]
-        from pyspark.sql import types as T
-
-        if "schema" not in node:
-            return self.spark.read.parquet(f"{self.path}/{node['path']}")
-        schema = T.StructType.fromJson(json.loads(node["schema"])).add(SHARD if node["kind"] == VECTOR else BUCKET, T.IntegerType())
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{node['path']}") if node["item_count"] else self.spark.createDataFrame([], schema)
+        """The plan of a node's table: no data is read yet, but its folder is held against the manifest."""
+        df = self._tables[node["node_id"]] if self._tables is not None else self._files_of(node)
+        return self.hooks.get(node["hook"])[1](df) if "hook" in node else df
+
+    def _files_of(self, node: dict) -> DataFrame:
+        cut = {VECTOR: SHARD, MAP: BUCKET}.get(node["kind"])
+        schema = T.StructType.fromJson(json.loads(node["schema"]))
+        if cut:
+            schema = schema.add(cut, T.IntegerType())
+        if not node["item_count"]:
+            return self.spark.createDataFrame([], schema)
+        where = f"{self.path}/{node['path']}"
+        found = set(Files(self.spark).names(where))
+        missing = [x for x in self._parts(node) if f"{cut}={x}" not in found] if cut else [] if found else [node["path"]]
+        if missing:
+            raise StoreFormatError(f"{node['path']}: {len(missing)} parts are missing, {missing[0]} the first")
+        return self.spark.read.schema(schema).parquet(where)
+
+    def _parts(self, node: dict) -> dict[str, int]:
+        """Rows of each shard or bucket that has any, by the manifest."""
+        if node["kind"] == MAP:
+            return node["filled"]
+        sizes = [items for items, n in node["runs"] for _ in range(n)]
+        return {str(k): n for k, n in enumerate(sizes)}
+
+    def verify(self) -> DataFrame:
+        """path, part, expected, found, ok: the rows of every shard, bucket and value against the manifest."""
+        out = None
+        for node in self.nodes:
+            if "inline" in node:
+                continue
+            cut = {VECTOR: SHARD, MAP: BUCKET}.get(node["kind"])
+            want = self._parts(node) if cut else {"0": 1}
+            expected = self.spark.createDataFrame([(int(k), n) for k, n in want.items()], "part int, expected long")
+            df = self._tables[node["node_id"]] if self._tables is not None else self._files_of(node)
+            counted = df.groupBy((F.col(cut) if cut else F.lit(0)).cast("int").alias("part")).agg(F.count("*").alias("found"))
+            both = expected.join(counted, "part", "full").select(F.lit(node["path"]).alias("path"), "part", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))
+            out = both if out is None else out.unionByName(both)
+        if out is None:
+            return self.spark.createDataFrame([], "path string, part int, expected long, found long, ok boolean")
+        return out.withColumn("ok", F.col("expected") == F.col("found"))
+
+    def decode(self, path: str, kind: str | T.DataType) -> DataFrame:
+        """The table at a path as columns of a type of the caller's own; raises where a field has no such column or type.
+
+        ``kind`` is a struct, or one type for the ``value`` column.
+        """
+        df = self.df(path)
+        kind = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
+        want = kind if isinstance(kind, T.StructType) else T.StructType([T.StructField(VALUE_COLUMN, kind)])
+        out = []
+        for f in want:
+            if f.name not in df.columns:
+                raise StoreDecodeError(f"{path} has no field {f.name}")
+            have = df.schema[f.name].dataType
+            if have != f.dataType and not (isinstance(have, T.NumericType) and isinstance(f.dataType, T.NumericType)):
+                raise StoreDecodeError(f"{path}.{f.name} is {have.simpleString()}, not {f.dataType.simpleString()}")
+            out.append(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name))
+        return df.select(*out)
 
     def root(self) -> RecordMirror:
         return self._mirror(self.spec, "root")
@@ -293,11 +390,11 @@ class Store:
             if f.kind == RECORD:
                 promises[name] = self._mirror(f.type, below)
             elif f.kind == VECTOR:
-                promises[name] = CollectionPromise(self.table(child), inner, child["item_count"], child["shard_items"])
+                promises[name] = CollectionPromise(partial(self.table, child), inner, child["item_count"], child["shard_items"])
             elif f.kind == MAP:
-                promises[name] = MapPromise(self.table(child), inner, child["num_buckets"], child["item_count"])
+                promises[name] = MapPromise(partial(self.table, child), inner, child["num_buckets"], child["item_count"])
             else:
-                promises[name] = ValuePromise(self.table(child).select(VALUE_COLUMN))
+                promises[name] = ValuePromise(lambda child=child: self.table(child).select(VALUE_COLUMN))
         return RecordMirror(spec, {n: _unpack(node["inline"].get(n)) for n in spec.inline()}, promises)
 
     def load(self) -> dict[str, Any]:
@@ -324,6 +421,18 @@ class Store:
             raise StoreFormatError(f"child {i} is out of range")
         return found[i]
 
+    def payload(self, path: str) -> DataFrame:
+        """The files of a node as they lie there: path, length and content."""
+        if self.path is None or path not in self.at or "inline" in self.at[path]:
+            raise StoreFormatError(f"no files at {path}")
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.path}/{path}").select("path", "length", "content")
+
+    def extent(self, node: dict) -> dict[str, int]:
+        """Bytes of a node with all below it, of its own table, and the number of its children."""
+        below = [n for n in self.nodes if n["path"] == node["path"] or n["path"].startswith(f"{node['path']}.")]
+        own = lambda n: Files(self.spark).size(f"{self.path}/{n['path']}") if self.path and "inline" not in n else 0
+        return {"length": sum(map(own, below)), "payload_length": own(node), "child_count": len(self.children(node))}
+
     def size(self) -> int:
         """Bytes of all files."""
         if self.path is None:
