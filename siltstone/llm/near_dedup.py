@@ -267,15 +267,13 @@ def _confirm(width: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Pairs (a, b) of records that are similar on their full sets; ``texts`` has rec and packed text z."""
+    """Pairs (a, b) of records that are similar on their full sets; ``texts`` has rec, n and packed text z."""
     pairs = table(pairs.where("a != b").distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.col("a").alias("rec")).union(pairs.select(F.col("b").alias("rec"))).distinct()
-    texts = table(texts.join(wanted, "rec", "left_semi"), "texts")
     full = pairs.join(texts.select(F.col("rec").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("rec").alias("a"), F.col("z").alias("za")), "a")
     good = table(per_batch(full.select("a", "b", "za", "zb"), lambda: _confirm(width), "a long, b long", 64), "good")
-    drop(texts)
+    drop(pairs)
     return good
 
 
@@ -345,6 +343,8 @@ def linked(records: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFr
     sizes = table(_once(level.groupBy("node").agg(*_contents()).where("_n > 1"), F.col("_n") <= LEAF).select("node", "_n", "_pivot"), "sizes")
     nodes = table(level.join(sizes, "node").join(records, "rec"), "nodes")
     drop(level)
+    # texts are dealt out once, those of records that share a node; all later joins take the few that are left
+    texts = table(texts.join(nodes.select("rec").distinct().hint("merge"), "rec", "left_semi"), "texts")
     small = _members(nodes.where(F.col("_n") <= LEAF).withColumn("grp", F.lit(0).cast("long")), ["node"])
     pivots = nodes.where((F.col("_n") > LEAF) & (F.col("rec") == F.col("_pivot"))).select("node", F.col("n").alias("_na"), F.col("sig").alias("_sa"))
     stars = nodes.where((F.col("_n") > LEAF) & (F.col("rec") != F.col("_pivot"))).join(pivots, "node")
@@ -353,7 +353,7 @@ def linked(records: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFr
     first = confirm(per_batch(small, _compare(True), "a long, b long", 128).union(stars), texts, width)
     groups = components(first)
 
-    pairs, large, used = None, None, [nodes]
+    pairs, large, used = None, None, [nodes, texts]
     rows = nodes.drop("_n", "_pivot").join(groups, "rec", "left").withColumn("grp", F.coalesce("grp", "rec")).withColumn("_p", F.lit(1 << 62))
     for depth in range(1, DEPTH + 1):
         mixed = mixed_nodes(rows, depth)
@@ -368,10 +368,8 @@ def linked(records: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFr
     large = table(large, "large")
     used.append(large)
     if not large.isEmpty():
-        wanted = large.where(F.col("n") <= WHOLE).select("rec").distinct()
-        some = table(texts.join(wanted, "rec", "left_semi"), "some")
-        used.append(some)
-        pairs = pairs.union(per_batch(_members(large.join(some, "rec", "left"), ["node", "_i", "_j"], "z"), lambda: _settle(width), "a long, b long", 4))
+        whole = large.join(texts.where(F.col("n") <= WHOLE).select("rec", "z"), "rec", "left")
+        pairs = pairs.union(per_batch(_members(whole, ["node", "_i", "_j"], "z"), lambda: _settle(width), "a long, b long", 4))
     again = confirm(pairs, texts, width)
     for written in used:
         drop(written)
@@ -394,7 +392,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     done = table(decide(rows.where("key is not null").select("_row", "_doc", "n", "key"), "key", "_doc", "_row").select("_row", "_doc", "n", "_keep"), "decided")
     chief = done.where("_row = _keep._row").select(F.col("_row").alias("rec"), F.struct(F.col("_keep._none").alias("_none"), F.col("_keep._id").alias("_id"), F.col("_row").alias("_row")).alias("_first"))
     records = table(rows.where("key is not null").select(F.col("_row").alias("rec"), "n", "sig").join(chief.select("rec"), "rec", "left_semi"), "records")
-    groups = linked(records, rows.select(F.col("_row").alias("rec"), "z"), width)
+    groups = linked(records, rows.select(F.col("_row").alias("rec"), "n", "z"), width)
     drop(records)
     tops = groups.join(chief, "rec").groupBy("grp").agg(F.min("_first").alias("_top"))
     tops = table(join_hot(groups, table(tops, "tops"), "grp").select(F.col("rec").alias("_rec"), "_top"), "tops")

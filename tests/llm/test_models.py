@@ -2,12 +2,14 @@
 
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import sentence
 from siltstone.llm import language, ngram, toxicity
+from siltstone.llm.common import mix
 
 DIR = "/root/testdata/sf0.01"
 
@@ -218,44 +220,62 @@ def test_ngram_beats_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_ngram_full_model(spark, monkeypatch):
-    """Scores against the formula in plain Python, with little quantisation error."""
+def trigrams(rows, shards=ngram.LEAST_SHARDS):
+    """log10 probabilities of all rows by the model's formula, with plain counters."""
+    train = [["<s>", "<s>", *t.encode().lower().split(), ngram.END] for d, t in rows if remainder(d, 7) != 2]
+    one = Counter(w for seq in train for w in seq[2:])
+    n, v = sum(one.values()), len(one)
+    number = {w: k for k, w in enumerate(sorted(one, key=xxhash.xxh64_intdigest))} | {"<s>": v + 1}
+    low = lambda w: (one[w] + 1) / (n + v + 1)
+
+    def context(u, w):
+        classes = max(1, -(-one[w] * shards // n)) if w != "<s>" else 1
+        return w, int(mix(np.array([number.get(u, v)], np.uint64))[0]) % classes if classes > 1 else 0
+
+    two, three, in_context, in_history = Counter(), Counter(), Counter(), Counter()
+    for seq in train:
+        for u, m, w in zip(seq, seq[1:], seq[2:], strict=False):
+            c = context(u, m)
+            two[c, w] += 1
+            three[c, u, w] += 1
+            in_context[c] += 1
+            in_history[c, u] += 1
+    after_context, after_history = Counter(c for c, _ in two), Counter((c, u) for c, u, _ in three)
+
+    def p(u, m, w):
+        c = context(u, m)
+        out = low(w)
+        if in_context[c]:
+            out = max(two[c, w] - ngram.DISCOUNT, 0) / in_context[c] + ngram.DISCOUNT * after_context[c] / in_context[c] * out
+        if in_history[c, u]:
+            out = max(three[c, u, w] - ngram.DISCOUNT, 0) / in_history[c, u] + ngram.DISCOUNT * after_history[c, u] / in_history[c, u] * out
+        return out
+
+    return [sum(math.log10(p(u, m, w)) for u, m, w in zip(seq, seq[1:], seq[2:], strict=False)) for seq in (["<s>", "<s>", *t.encode().lower().split(), ngram.END] for _, t in rows)]
+
+
+@pytest.mark.parametrize("chunk", [200, 1_000_000])
+def test_ngram_full_model(spark, monkeypatch, chunk):
+    """Scores against the formula in plain Python, with hot words that are split into classes, over many and over few chunks."""
+    monkeypatch.setattr(ngram, "CHUNK", chunk)
     rng = __import__("random").Random(4)
-    rows = [(i, sentence(rng, 60)) for i in range(80)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    one, two = Counter(), Counter()
-    for d, t in rows:
-        if remainder(d, 7) != 2:
-            seq = ["<s>", *t.encode().lower().split(), None]
-            one.update(seq)
-            two.update(zip(seq, seq[1:], strict=False))
-    n, v = sum(c for w, c in one.items() if w != "<s>"), len(one) - 1
-    given = defaultdict(float)
-    for (c, _), k in two.items():
-        if k >= ngram.LEAST:
-            given[c] += (k - ngram.DISCOUNT) / one[c]
-    for r in ngram.score_texts(docs).collect():
-        seq = ["<s>", *dict(rows)[r.doc_id].encode().lower().split(), None]
-        want = 0.0
-        for c, w in zip(seq, seq[1:], strict=False):
-            k = two[(c, w)]
-            p = (k - ngram.DISCOUNT) / one[c] if k >= ngram.LEAST else 0
-            want += math.log10(p + (1 - given[c]) * (one[w] + 1) / (n + v + 1))
-        assert abs(r.score - want) < 0.02 * len(seq)
-
-
-def test_ngram_keeps_pairs_met_once(spark):
-    """Each pair occurs once in training: its discounted probability counts, not the back-off alone."""
-    ids = [i for i in range(100) if remainder(i, 7) != 2][:3]
-    texts = ["red fox", "blue whale", "grey owl"]
-    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
-    n, v = 9, 7  # six words once, the end token three times
-    low = lambda k: (k + 1) / (n + v + 1)
-    start = 0.25 / 3 + 0.75 * low(1)  # the start is followed by three words: 3 * 0.25 / 3 given
-    inside, end = 0.25 + 0.75 * low(1), 0.25 + 0.75 * low(3)
-    want = sum(map(math.log10, (start, inside, end)))
-    for r in ngram.score_texts(docs).collect():
-        assert abs(r.score - want) < 0.06 and r.score > r.base_score
+    rows = [(i, " ".join("hot" if rng.random() < 0.4 else w for w in sentence(rng, rng.randrange(1, 60)).split())) for i in range(150)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)] + [(2000 + i, "never seen " + rows[i][1]) for i in range(20)] + [(3000, "")]
+    want = dict(zip((d for d, _ in rows), trigrams(rows), strict=True))
+    got = {r.doc_id: r for r in ngram.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[d].score - w) < 0.03 * got[d].n_tokens for d, w in want.items())
+    assert abs(sum(got[d].score - w for d, w in want.items())) < 0.006 * sum(r.n_tokens for r in got.values())
+
+
+def test_ngram_tells_seen_texts_apart(spark):
+    """Of held-out texts, those with a copy in training score far above the others, token by token."""
+    rng = __import__("random").Random(9)
+    held, other = ([i for i in range(2000) if (remainder(i, 7) == 2) == x] for x in (True, False))
+    texts = [sentence(rng, 80) for _ in range(400)]
+    rows = list(zip(other, texts, strict=False)) + [(held[k], texts[k]) for k in range(40)] + [(held[40 + k], sentence(rng, 80)) for k in range(40)]
+    got = {r.doc_id: r.score / r.n_tokens for r in ngram.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert min(got[held[k]] for k in range(40)) > max(got[held[40 + k]] for k in range(40))
 
 
 @pytest.mark.parametrize("n", [0, 1, 5000, 12_345])
@@ -278,19 +298,38 @@ def test_sequence_with_repeats():
     assert (seq.take(np.arange(len(values))) == values).all()
 
 
-def test_probabilities_sum_to_one(tmp_path):
-    """Over all words and one unknown, for each context."""
+def test_sequence_of_wide_values():
+    """Over all 64 bits, with clusters, so that blocks of every width occur."""
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), *(np.uint64(k) + rng.integers(0, 1 << w, 300).astype(np.uint64) for k, w in zip(rng.integers(0, 1 << 62, 40), range(1, 41), strict=True))]
+    values = np.unique(np.concatenate(parts))
+    seq = ngram.Sequence(np.frombuffer(ngram.pack(values), np.uint8), 0)
+    assert (seq.find(values) == np.arange(len(values))).all() and (seq.take(np.arange(len(values))) == values).all()
+
+
+def test_probabilities_sum_to_one():
+    """Over all words and one unknown, for each history, at the widths of real contexts and numbers."""
     rng = np.random.default_rng(2)
-    words = np.unique(rng.integers(0, 1 << 48, 300).astype(np.uint64))
-    counts = np.full(len(words), 40, np.int64)
-    context, after = rng.integers(0, len(words), 2000), rng.integers(0, len(words), 2000)
-    pairs, pair_counts = np.unique((words[context] >> np.uint64(12)) << np.uint64(28) | words[after] >> np.uint64(20), return_counts=True)
-    pair_counts = pair_counts + 1
-    shard = ngram.Shard(np.frombuffer(ngram.build(words, counts, pairs, pair_counts), np.uint8))
-    ranks = shard.lookup(words)
-    n, v = int(counts.sum()), len(words)
-    low = np.append((counts + 1) / (n + v + 1), 1 / (n + v + 1))
-    for k in range(0, len(words), 29):
-        p = shard.follow(np.full(len(words), ranks[k]), words >> np.uint64(20))
-        total = p.sum() + ngram.restore(shard.back[ranks[k] : ranks[k] + 1].astype(float))[0] * low.sum()
-        assert abs(total - 1) < 0.06
+    numbers = np.unique(rng.integers(0, 1 << 40, 300)).astype(np.int64)
+    rows = np.stack([rng.integers(0, 12, 3000) * ((1 << 56) // 13) + 5, numbers[rng.integers(0, 20, 3000)], numbers[rng.integers(0, len(numbers), 3000)]], axis=1)
+    rows, counts = np.unique(rows, axis=0, return_counts=True)
+    trie = ngram.Shard(np.frombuffer(ngram.build(rows[:, 0].astype(np.uint64), rows[:, 1], rows[:, 2], counts), np.uint8))
+    once = rng.integers(1, 50, len(numbers))
+    low = np.append((once + 1) / (once.sum() + len(numbers) + 1), 1 / (once.sum() + len(numbers) + 1))
+    names = np.append(numbers, 1 << 40)  # the last one is unknown
+    for c, u in [*np.unique(rows[:, :2], axis=0)[::17].tolist(), [int(rows[0, 0]), 1 << 40], [7, 7]]:
+        p = 10 ** trie.log10(np.full(len(names), c, np.uint64), np.full(len(names), u), names, low)
+        assert abs(p.sum() - 1) < 0.05
+
+
+def test_counts_are_exact_where_numbers_are_close():
+    """N-grams whose numbers differ in their last bit alone keep their own counts."""
+    n = 1 << 30
+    context, u = np.array([5, 5, 5, 6], np.uint64), np.array([n, n, n + 1, n])
+    w, counts = np.array([n, n + 1, n, n]), np.array([8, 2, 5, 1])
+    trie = ngram.Shard(np.frombuffer(ngram.build(context, u, w, counts), np.uint8))
+    got = 10 ** trie.log10(context, u, w, np.zeros(4))
+    d = ngram.DISCOUNT
+    after = {n: (13 - d) / 15, n + 1: (2 - d) / 15}
+    want = [(8 - d) / 10 + 2 * d / 10 * after[n], (2 - d) / 10 + 2 * d / 10 * after[n + 1], (5 - d) / 5 + d / 5 * after[n], (1 - d) + d * (1 - d)]
+    assert np.allclose(got, want, rtol=0.06)
