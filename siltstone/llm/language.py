@@ -1,48 +1,44 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-Both directions of the network run over the UTF-8 bytes of a word (lower-cased in ASCII, outer punctuation removed, in
-pieces of at most ``SPAN`` bytes) and every byte position is labelled with a distribution over languages. A document's
-probabilities are the mean of those of all its positions, words weighing as often as they occur. As the state starts
-anew at each word, equal words have equal labels, and a task runs the network once for each distinct word it remembers.
+Both directions of the network run over the UTF-8 bytes of the running text, lower-cased in ASCII, spaces, digits and
+punctuation included, and every byte position is labelled with a distribution over languages. A document's probabilities
+are the mean of those of all its positions.
 
-Training is backpropagation through time on soft labels: the words of at most ``MOST_EACH`` documents of each language
-from those with crc32(doc_id) mod 4 not 2, each word with the shares of the languages it occurs in.
+A text is thought to stand between NUL bytes. It is run in windows of ``WINDOW`` bytes, each with ``OVERLAP`` bytes of
+what is beside it on either side, over which the states of both directions form; the labels of these belong to the
+neighbouring window. So the work is in proportion to the bytes, memory is bounded, and no byte is left out.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0; a word without letters is not labelled;
-without any learnt language every text is ``und``; an empty table gives an empty result.
+Training is backpropagation through time on windows of ``SPAN`` bytes, labelled with the language of their document:
+``DRAWN`` windows at seeded places over the whole text of each of at most ``MOST_EACH`` documents of each language, in
+order of a hash of their id, from those with crc32(doc_id) mod 4 not 2. Languages are drawn equally often.
+
+Defined results: null text, or text without a letter, is ``und`` with score 0; without any learnt language every text
+is ``und``; repeated rows have equal predictions; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import per_batch, raw_texts, split_number
 
-HIDDEN, SPAN, MOST_EACH, MOST_WORDS, STEPS, BATCH, RATE = 12, 24, 150, 60_000, 700, 128, 0.02
+HIDDEN, WINDOW, OVERLAP, TOGETHER = 6, 256, 16, 1024
+SPAN, DRAWN, MOST_EACH, STEPS, BATCH, RATE = 48, 64, 150, 450, 96, 0.02
 PARTS, OUT = 4, 2
-_TRIM = bytes(range(33, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def pieces(word: bytes) -> list[bytes]:
-    return [word[i : i + SPAN] for i in range(0, len(word), SPAN)]
-
-
-def bare(word: bytes) -> bytes:
-    """The word without outer punctuation and digits, or nothing if it has no letter."""
-    cut = word.strip(_TRIM)
-    return cut if any(map(str.isalpha, cut.decode("utf-8", "ignore"))) else b""
-
-
 class BiGru:
     """h' = z * h + (1 - z) * tanh(a + r * (U h)), forwards and backwards; softmax over both states at each byte."""
 
@@ -54,28 +50,29 @@ class BiGru:
             self.p[f"u{d}"] = rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN))
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, d: str, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
-        """States (time, word, HIDDEN) of one direction; a state is held where the word has ended."""
+    def _run(self, d: str, x: np.ndarray) -> tuple[np.ndarray, list]:
+        """States (time, window, HIDDEN) of one direction."""
         h, out, kept = np.zeros((x.shape[0], HIDDEN), np.float32), [], []
         for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
-            a, u, m = self.p[f"x{d}"][x[:, t]], h @ self.p[f"u{d}"], live[:, t : t + 1]
+            a, u = self.p[f"x{d}"][x[:, t]], h @ self.p[f"u{d}"]
             z, r = np.split(_sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]), 2, axis=1)
             n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
             kept.append((t, h, z, r, n, u[:, 2 * HIDDEN :]))
-            h = np.where(m, z * h + (1 - z) * n, h)
+            h = z * h + (1 - z) * n
             out.append(h)
         return np.stack(out if d == "f" else out[::-1]), kept
 
-    def forward(self, x: np.ndarray, live: np.ndarray):
-        f, kf = self._run("f", x, live)
-        b, kb = self._run("b", x, live)
+    def forward(self, x: np.ndarray):
+        f, kf = self._run("f", x)
+        b, kb = self._run("b", x)
         both = np.concatenate([f, b], axis=2)
         logits = both @ self.p["o"] + self.p["c"]
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         return e / e.sum(axis=2, keepdims=True), both, kf, kb
 
     def gradients(self, x: np.ndarray, live: np.ndarray, want: np.ndarray) -> dict[str, np.ndarray]:
-        prob, both, kf, kb = self.forward(x, live)
+        """Of the mean loss over the positions ``live``, by backpropagation through time; ``want`` has a row for each window."""
+        prob, both, kf, kb = self.forward(x)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         d = (prob - want[None]) * live.T[:, :, None] / np.float32(max(live.sum(), 1))
         g["o"], g["c"] = np.einsum("tbh,tbl->hl", both, d), d.sum(axis=(0, 1))
@@ -83,92 +80,107 @@ class BiGru:
         for way, kept, part in (("f", kf, slice(0, HIDDEN)), ("b", kb, slice(HIDDEN, None))):
             dh, pulled = np.zeros((x.shape[0], HIDDEN), np.float32), []
             for t, h, z, r, n, un in reversed(kept):
-                m = live[:, t : t + 1]
                 dh = dh + dh_all[t][:, part]
-                dn = dh * (1 - z) * (1 - n * n) * m
-                dz = dh * (h - n) * z * (1 - z) * m
+                dn = dh * (1 - z) * (1 - n * n)
+                dz = dh * (h - n) * z * (1 - z)
                 dr = dn * un * r * (1 - r)
                 pre = np.concatenate([dz, dr, dn], axis=1)
                 rec = np.concatenate([dz, dr, dn * r], axis=1)
                 pulled.append((x[:, t], pre))
                 g[f"u{way}"] += h.T @ rec
-                dh = np.where(m, dh * z, dh) + rec @ self.p[f"u{way}"].T
+                dh = dh * z + rec @ self.p[f"u{way}"].T
             at = np.concatenate([b for b, _ in pulled])
             order = np.argsort(at, kind="stable")
             seen, first = np.unique(at[order], return_index=True)
             g[f"x{way}"][seen] = np.add.reduceat(np.concatenate([p for _, p in pulled])[order], first, axis=0)
         return g
 
-    def train(self, words: list[bytes], shares: np.ndarray, weights: np.ndarray, seed: int = 4) -> None:
-        rng, odds = np.random.default_rng(seed), weights / weights.sum()
+    def train(self, windows: list[np.ndarray], seed: int = 4) -> None:
+        """Adam. ``windows`` has an array (number, SPAN) for each language; NUL bytes are no positions of a text."""
+        rng = np.random.default_rng(seed)
         m, v = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}
+        each = np.eye(len(windows), dtype=np.float32)
         for step in range(1, STEPS + 1):
-            pick = rng.choice(len(words), BATCH, p=odds)
-            x, live = padded([words[k] for k in pick])
+            lang = rng.integers(0, len(windows), BATCH)
+            x = np.stack([windows[k][rng.integers(0, len(windows[k]))] for k in lang.tolist()])
             rate = RATE * (1 - step / (STEPS + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, g in self.gradients(x, live, shares[pick]).items():
+            for k, g in self.gradients(x, x > 0, each[lang]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 self.p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-7)).astype(np.float32)
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word: probabilities summed over its bytes, and last the number of bytes."""
-        parts, owner = [], []
-        for k, w in enumerate(words):
-            for piece in pieces(w):
-                parts.append(piece)
-                owner.append(k)
-        out = np.zeros((len(words), len(self.langs) + 1))
-        order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
-        for lo in range(0, len(order), 4096):
-            pick = order[lo : lo + 4096]
-            x, live = padded([parts[k] for k in pick])
-            prob = self.forward(x, live)[0] * live.T[:, :, None]
-            rows = np.array([owner[k] for k in pick])
-            np.add.at(out, rows, np.concatenate([prob.sum(axis=0), live.sum(axis=1, keepdims=True)], axis=1))
+    def _states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """Their part of the logits (time, window, language), in the order of the run. ``x`` is (time, window).
+
+        A sigmoid is half a hyperbolic tangent of half its argument; the halves are in the weights.
+        """
+        half = np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN])
+        table, weights = self.p[f"x{d}"] * half, self.p[f"u{d}"] * half
+        exit_ = self.p["o"][:HIDDEN] if d == "f" else self.p["o"][HIDDEN:]
+        n = x.shape[1]
+        h, a, u = np.zeros((n, HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32), np.empty((n, 3 * HIDDEN), np.float32)
+        g, new, out = np.empty((n, 2 * HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32), np.empty((len(x), n, len(self.langs)), np.float32)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            np.take(table, x[t], axis=0, out=a)
+            np.matmul(h, weights, out=u)
+            np.add(a[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=g)
+            np.tanh(g, out=g)
+            g *= np.float32(0.5)
+            g += np.float32(0.5)
+            np.multiply(g[:, HIDDEN:], u[:, 2 * HIDDEN :], out=new)
+            new += a[:, 2 * HIDDEN :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= g[:, :HIDDEN]
+            h += new
+            np.matmul(h, exit_, out=out[t])
         return out
 
-
-def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    longest = max(map(len, parts))
-    x = np.frombuffer(b"".join([p.ljust(longest, b"\0") for p in parts]), np.uint8).reshape(len(parts), longest)
-    return x, np.arange(longest) < np.array([len(p) for p in parts])[:, None]
-
-
-class Labeller:
-    """Sums of distinct raw words, remembered; rows of ``table`` by word."""
-
-    def __init__(self, model: BiGru, most: int = 300_000):
-        self.model, self.most = model, most
-        self.forget()
-
-    def forget(self) -> None:
-        self.raw: dict[bytes, int] = {b"": 0}
-        self.bare: dict[bytes, int] = {b"": 0}
-        self.table = np.zeros((1, len(self.model.langs) + 1))
+    def label(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities (time, window, language) of every position. ``x`` is (time, window)."""
+        logits = self._states("f", x)
+        logits += self._states("b", x)
+        logits += self.p["c"]
+        logits -= logits.max(axis=2, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=2, keepdims=True)
+        return logits
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        if len(self.raw) > self.most:
-            self.forget()
-        split = [t.lower().split() for t in texts]
-        new = {w for found in split for w in found} - self.raw.keys()
-        cut = {w: bare(w) for w in new}
-        fresh = list(set(cut.values()) - self.bare.keys())
-        if fresh:
-            self.bare.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
-            self.table = np.concatenate([self.table, self.model.sums(fresh)])
-        self.raw.update((w, self.bare[b]) for w, b in cut.items())
-        out = []
-        for found in split:
-            total = self.table[np.fromiter(map(self.raw.__getitem__, found), np.int64, len(found))].sum(axis=0)
-            if total[-1] == 0:
-                out.append(("und", 0.0))
-            else:
-                best = int(total[:-1].argmax())
-                out.append((self.model.langs[best], float(min(1.0, total[best] / total[-1]))))
+        """Language and pooled probability of each text."""
+        ask = [k for k, t in enumerate(texts) if _LETTER.search(t.decode("utf-8", "ignore"))]
+        out = [("und", 0.0)] * len(texts)
+        if not ask:
+            return out
+        size = np.array([len(texts[k]) for k in ask])
+        windows = -(-size // WINDOW)
+        # each text is laid out in whole windows, with the overlap of NUL bytes in front and behind
+        room = windows * WINDOW + 2 * OVERLAP
+        laid = np.frombuffer(b"".join([b"\0" * OVERLAP + texts[k].lower().ljust(int(n) - OVERLAP, b"\0") for k, n in zip(ask, room, strict=True)]), np.uint8)
+        owner = np.repeat(np.arange(len(ask)), windows)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = np.repeat(np.cumsum(room) - room, windows) + place * WINDOW
+        live = np.minimum(WINDOW, size[owner] - place * WINDOW)
+        total = np.zeros((len(ask), len(self.langs)))
+        for lo in range(0, len(owner), TOGETHER):
+            part = slice(lo, lo + TOGETHER)
+            prob = self.label(laid[np.arange(WINDOW + 2 * OVERLAP)[:, None] + start[part]])[OVERLAP : OVERLAP + WINDOW]
+            prob *= (np.arange(WINDOW)[:, None] < live[part])[:, :, None]
+            np.add.at(total, owner[part], prob.sum(axis=0))
+        best = total.argmax(axis=1)
+        for k, b, n, t in zip(ask, best.tolist(), size.tolist(), total, strict=True):
+            out[k] = self.langs[b], float(min(1.0, t[b] / n))
         return out
 
 
+def draw(doc: str, text: bytes) -> np.ndarray:
+    """Windows of a training text, at places that its id and length alone decide; some reach over its ends."""
+    laid = np.frombuffer(b"\0" * OVERLAP + text.lower() + b"\0" * (OVERLAP + SPAN), np.uint8)
+    rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{len(text)}|{doc}"))
+    at = rng.integers(0, len(text) + 2 * OVERLAP - min(SPAN, len(text)), min(DRAWN, max(1, len(text) // 8)))
+    return laid[np.minimum(at[:, None] + np.arange(SPAN), len(laid) - 1)]
+
+
 def fit(docs: DataFrame) -> BiGru | None:
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(split_number(F.col("doc_id"), PARTS) != OUT)
     # ids of at most MOST_EACH rows of each language, picked by hash without gathering a language in one task
@@ -180,33 +192,22 @@ def fit(docs: DataFrame) -> BiGru | None:
 
     def work():
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, words, counts = [], [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True):
-                found = Counter(p for w in text.lower().split() for p in pieces(bare(w)))
-                langs.append(lang)
-                words.append(list(found))
-                counts.append(list(found.values()))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "lang", "words", "counts"])
+            some = [draw(d, t).tobytes() if _LETTER.search(t.decode("utf-8", "ignore")) else b"" for d, t in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(some, pa.binary())], names=["doc_id", "lang", "windows"])
 
         return handle
 
-    found = per_batch(rows, work, "doc_id string, lang string, words array<binary>, counts array<int>", 256).collect()
-    langs = sorted({r.lang for r in found})
-    if not langs:
-        return None
-    share: dict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    size = np.zeros(len(langs))
+    # DRAWN * SPAN bytes for each of MOST_EACH documents of a language
+    found = per_batch(rows, work, "doc_id string, lang string, windows binary", 256).collect()
+    found.sort(key=lambda r: (r.lang, r.doc_id, bytes(r.windows)))
+    by_lang: dict[str, list[bytes]] = {}
     for r in found:
-        for w, n in zip(r.words, r.counts, strict=True):
-            share[bytes(w)][langs.index(r.lang)] += n
-        size[langs.index(r.lang)] += sum(r.counts)
-    if not share:
+        if r.windows:
+            by_lang.setdefault(r.lang, []).append(bytes(r.windows))
+    if not by_lang:
         return None
-    # languages weigh the same, whatever the length of their texts; the most frequent words stay, ties by their bytes
-    words = sorted(share, key=lambda w: (-share[w].sum(), w))[:MOST_WORDS]
-    counts = np.stack([share[w] for w in words]) / np.maximum(size, 1)
-    model = BiGru(langs)
-    model.train(words, (counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.sqrt(np.array([share[w].sum() for w in words])))
+    model = BiGru(sorted(by_lang))
+    model.train([np.frombuffer(b"".join(by_lang[k]), np.uint8).reshape(-1, SPAN) for k in model.langs])
     return model
 
 
@@ -215,11 +216,9 @@ def identify(docs: DataFrame) -> DataFrame:
     model = fit(docs)
 
     def work():
-        labeller = Labeller(model) if model else None
-
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = list(raw_texts(batch.column("text")))
-            found = labeller.predict(texts) if labeller else [("und", 0.0)] * len(texts)
+            found = model.predict(texts) if model else [("und", 0.0)] * len(texts)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
         return handle

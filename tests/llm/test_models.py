@@ -144,14 +144,14 @@ def test_toxicity_model_over_pieces():
 
 
 def test_gru_gradients():
-    """Backpropagation through time against differences, words of unequal length included."""
+    """Backpropagation through time against differences, NUL bytes at the ends included."""
     model = language.BiGru(["a", "b", "c"])
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    x, live = language.padded([b"abcde", b"xy", b"abz"])
-    want = np.eye(3)
+    x = np.array([list(b"ab de"), list(b"\0\0xy\0"), list(b"ab z\0")], np.uint8)
+    live, want = x > 0, np.eye(3)
 
     def loss():
-        p = model.forward(x, live)[0]
+        p = model.forward(x)[0]
         return -(np.log(p) * want[None] * live.T[:, :, None]).sum() / live.sum()
 
     g = model.gradients(x, live, want)
@@ -168,6 +168,22 @@ def test_gru_gradients():
             assert abs((up - down) / 2e-4 - g[k][at]) < 2e-3, k
 
 
+def test_labels_are_those_of_the_whole_text(monkeypatch):
+    """The fast run equals the plain one; windows with overlap pool nearly as one run over the whole text does, and every
+    byte is counted once."""
+    model, rng = language.BiGru(["a", "b", "c"], seed=2), np.random.default_rng(3)
+    x = rng.integers(0, 256, (40, 7)).astype(np.uint8)
+    assert np.allclose(model.label(x), model.forward(x.T)[0], atol=1e-5)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 255, 256, 257, 1000, 3000)]
+    got = model.predict(texts)
+    for text, (lang, score) in zip(texts, got, strict=True):
+        whole = np.frombuffer(b"\0" * language.OVERLAP + text + b"\0" * language.OVERLAP, np.uint8)[None]
+        mean = model.forward(whole)[0][language.OVERLAP : -language.OVERLAP, 0].mean(axis=0)
+        assert lang == model.langs[int(mean.argmax())] and abs(score - mean.max()) < 2e-3
+    monkeypatch.setattr(language, "TOGETHER", 2)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(model.predict(texts), got, strict=True))
+
+
 def test_language_learns(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
     got = {r.doc_id: r for r in language.identify(docs).collect()}
