@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_RE, checkpoint, words  # noqa: F401
+from .common import SPACE_RE, checkpoint
 
 SLOTS = 1024
 
@@ -60,17 +60,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """The kept records with all their columns. Whole records are shuffled only for texts that are no winners."""
+    """The kept records with all their columns. Whole records are shuffled only for texts that are no winners.
+
+    Among records of the smallest id the one whose columns have the smallest hash stays, so reruns agree.
+    """
     names = df.columns
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_rec"), F.col(id_col).alias("_doc"), digest(F.col(text_col)).alias("_sha"))
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_rec"), F.col(id_col).alias("_doc"), digest(F.col(text_col)).alias("_sha"), tie.alias("_tie"))
     rows = checkpoint(whole.select("_doc", "_sha"))
     candidates = F.broadcast(frequent(rows, "_sha", slots))
     order = F.struct(F.col("_doc").isNull().alias("_none"), F.col("_doc").alias("_id"))
     winners = checkpoint(rows.join(candidates, "_sha").groupBy("_sha").agg(F.min(order).alias("_keep"), F.count("*").alias("_n")).where("_n > 1"))
     marked = whole.join(F.broadcast(winners.drop("_n")), "_sha", "left")
     # of a winner's rows only those with the smallest id pass the map side; repeats of it then meet, combined before
-    heavy = marked.where(F.col("_keep").isNotNull() & F.col("_doc").eqNullSafe(F.col("_keep._id"))).groupBy("_sha").agg(F.first("_rec").alias("_rec"))
-    rest = marked.where("_keep is null").withColumn("_k", F.row_number().over(W.partitionBy("_sha").orderBy(F.col("_doc").asc_nulls_last()))).where("_k = 1")
+    heavy = marked.where(F.col("_keep").isNotNull() & F.col("_doc").eqNullSafe(F.col("_keep._id"))).groupBy("_sha").agg(F.min_by("_rec", "_tie").alias("_rec"))
+    rest = marked.where("_keep is null").withColumn("_k", F.row_number().over(W.partitionBy("_sha").orderBy(F.col("_doc").asc_nulls_last(), "_tie"))).where("_k = 1")
     return heavy.select("_rec").unionByName(rest.select("_rec")).select("_rec.*")
 
 
@@ -82,5 +86,5 @@ OP6_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size,
-       doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM d
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256 FROM d
 """
