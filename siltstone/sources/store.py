@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import StoreCodecError, StoreDecodeError, StoreError, StoreFormatError, StoreIOError
+from ..errors import StoreCodecError, StoreDecodeError, StoreError, StoreFormatError, StoreInternalError, StoreIOError
 from ..functions import layout
 from ..functions.codec import CodecTable, HookTable
 from ..operators.lazy import BUCKET, KEY, POS, SHARD, CollectionPromise, MapPromise, RecordMirror, ValuePromise
@@ -393,6 +393,8 @@ class Store:
                 promises[name] = CollectionPromise(partial(self.table, child), inner, child["item_count"], child["shard_items"])
             elif f.kind == MAP:
                 promises[name] = MapPromise(partial(self.table, child), inner, child["num_buckets"], child["item_count"])
+            elif f.kind != VALUE:
+                raise StoreInternalError(f"{below} is of no known kind")
             else:
                 promises[name] = ValuePromise(lambda child=child: self.table(child).select(VALUE_COLUMN))
         return RecordMirror(spec, {n: _unpack(node["inline"].get(n)) for n in spec.inline()}, promises)

@@ -2,13 +2,15 @@
 
 import io
 import json
+import shutil
 
 import pytest
 
-from siltstone import Builder, Items, Options, Store, StoreCodecError, StoreFormatError, StoreIOError, chunk, inline, keyed_map, load_bytes, record, save, save_sync, serialize, vector, write
+from siltstone import Builder, Items, Options, Store, StoreCodecError, StoreDecodeError, StoreFormatError, StoreIOError, chunk, inline, keyed_map, load_bytes, record, save, save_sync, serialize, vector, write
 from siltstone.functions import layout
-from siltstone.functions.codec import CodecTable
-from siltstone.operators.lazy import CollectionPromise, MapPromise
+from siltstone.functions.codec import CodecTable, HookTable
+from siltstone.operators.lazy import ChildrenPromise, CollectionPromise, MapPromise
+from siltstone.sources.shared import Files
 
 HEAVY = record("HeavyItem", id=inline("u32"), name=chunk("string"), data=chunk("binary"))
 PROFILE = record("Profile", level=inline("u32"), score=inline("bigint"), bio=chunk("string"))
@@ -111,6 +113,94 @@ def test_pruning(spark, store):
     assert "PartitionFilters: [isnotnull(bucket" in explained and "EqualTo(k,user_1)" in explained
 
 
+def test_rows_read(spark, store):
+    """A point read scans one shard or bucket, not the table."""
+    items, users = store.root().items, store.root().users
+    assert 0 < _rows_read(spark, items.at(25)) <= 20 and _rows_read(spark, items.scan()) == 50
+    assert 0 < _rows_read(spark, items.slice(38, 42)) <= 40
+    in_bucket = max(store.at["root.users"]["filled"].values())
+    assert 0 < _rows_read(spark, users.find("user_1")) <= in_bucket < 40
+
+
+def test_scans_of_frames_do_not_shuffle(spark):
+    c = CollectionPromise.of(spark.range(1000).selectExpr("999 - id as id"), ["id"])
+    for df in (c.items(), c.length()):
+        assert "rangepartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in c.slice(3, 6).orderBy("pos").collect()] == [3, 4, 5] and c.last_row().first().id == 999 and c.first_row().first().id == 0
+    assert [(r.pos, r.id) for r in c.at(7, 2).orderBy("pos").collect()] == [(2, 2), (7, 7)]
+
+
+def _saved(spark, path, **more):
+    save(spark, path, WORLD, values(), Options(shard_items=20, buckets=4, **more))
+    return path
+
+
+def test_root_touches_no_heavy_files(spark, tmp_path):
+    path = _saved(spark, str(tmp_path / "w"))
+    for name in ("root.blob", "root.items", "root.users", "root.config.text"):
+        shutil.rmtree(f"{path}/{name}")
+    root = Store.open(spark, path).root()
+    assert (root.id, root.name, root.config.version, len(root.items), root.numbers.get(3)) == (7, "w", 3, 50, 30)
+    for read in (root.blob.load, root.items.scan, root.config.text.load, lambda: root.users.get("user_1")):
+        with pytest.raises(StoreFormatError):
+            read()
+
+
+def test_missing_parts_are_noticed(spark, tmp_path):
+    path = _saved(spark, str(tmp_path / "w"))
+    assert Store.open(spark, path).verify().where("not ok").isEmpty()
+    for f in (tmp_path / "w" / "root.items" / "shard=2").glob("*.parquet"):
+        f.unlink()
+    store = Store.open(spark, path)
+    assert [(r.path, r.part, r.expected, r.found) for r in store.verify().where("not ok").collect()] == [("root.items", 2, 10, 0)]
+    with pytest.raises(StoreFormatError):
+        store.load()
+    shutil.rmtree(f"{path}/root.items/shard=1")
+    users = next((tmp_path / "w" / "root.users").glob("bucket=*"))
+    shutil.rmtree(users)
+    root = Store.open(spark, path).root()
+    for read in (root.items.scan, root.items.load, root.users.scan, lambda: store.df("root.items").count()):
+        with pytest.raises(StoreFormatError):
+            read()
+
+
+def test_failed_swap_leaves_what_was_there(spark, tmp_path, monkeypatch):
+    path, rename = _saved(spark, str(tmp_path / "w")), Files.rename
+    monkeypatch.setattr(Files, "rename", lambda self, a, b: rename(self, a, b) if ".new-" not in a else (_ for _ in ()).throw(StoreIOError("no")))
+    with pytest.raises(StoreIOError):
+        save(spark, path, WORLD, values(5, 3))
+    monkeypatch.undo()
+    assert Store.open(spark, path).load() == values() and sorted(x.name for x in tmp_path.iterdir()) == ["w"]
+    (tmp_path / "w").rename(tmp_path / "w.old-1")  # as if the process had ended between the two renamings
+    assert Store.open(spark, path).load() == values()
+
+
+def test_hooks_decode_and_extent(spark, tmp_path):
+    hooks = HookTable()
+    hooks.register("upside down", lambda df: df.withColumn("value", -df.value), lambda df: df.withColumn("value", -df.value))
+    path = _saved(spark, str(tmp_path / "w"), hooks=hooks, hook_of={"root.numbers": "upside down"})
+    with pytest.raises(StoreCodecError):
+        Store.open(spark, path)
+    store = Store.open(spark, path, hooks=hooks)
+    assert store.load() == values() and spark.read.parquet(f"{path}/root.numbers").agg({"value": "min"}).first()[0] == -490
+    assert store.decode("root.numbers", "decimal(20,0)").count() == 50 and store.decode("root.items", "id double, name string").columns == ["id", "name"]
+    for kind in ("string", "nothing int"):
+        with pytest.raises(StoreDecodeError):
+            store.decode("root.numbers", kind)
+    whole, own = store.extent(store.root_node()), store.extent(store.at["root.items"])
+    assert whole["child_count"] == 6 and whole["length"] > own["length"] == own["payload_length"] > 0
+    files = store.payload("root.items").collect()
+    assert len(files) >= 3 and all(r.length == len(r.content) and bytes(r.content[:4]) == b"PAR1" for r in files)
+
+
+def test_children(spark):
+    rows = ChildrenPromise(spark.createDataFrame([(o, c) for o in range(4) for c in range(o)], "o int, c int"), ["o"], ["c"])
+    assert sorted((r.o, r.c, r.pos) for r in rows.at(1).collect()) == [(2, 1, 1), (3, 1, 1)]
+    assert sorted((r.o, r.len) for r in rows.lengths(spark.createDataFrame([(o,) for o in range(5)], "o int")).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
+    with pytest.raises(StoreFormatError):
+        rows.at(-1)
+
+
 def test_skewed_items_and_frames(spark, tmp_path):
     jagged = [f"{i}" for i in range(100)] + ["x" * 1_000_000] + [f"{i}" for i in range(100)]
     spec = record("Jagged", data=vector("string"))
