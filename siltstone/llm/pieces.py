@@ -14,8 +14,8 @@ hash with a known one is encoded by itself. For each batch
    remembered for each pair.
 
 The result is the same as merging pair by pair. Texts are never cut; a part without spaces may be of any length, and is
-indexed whole: such a run takes some 200 bytes of memory a character while it is new. What a task remembers of runs is
-bounded by ``MOST_BYTES``.
+indexed whole: such a run takes some 200 bytes of memory a character while it is new. What a worker remembers of runs is
+bounded by ``MOST_BYTES``, and goes on to its next tasks.
 
 Defined results: null or empty text has no ids and decodes to an empty text; a space mark U+2581 in a text decodes to
 a space, as in any SentencePiece model; an empty table gives an empty result; other columns are carried by no output.
@@ -35,11 +35,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _END = 0x110000  # sorts after every character and is in no piece
 _BETWEEN = "\udfff"  # stands between parts; no valid text holds it
-MOST_BYTES = 16 << 20  # of runs that a task remembers, with their ids
+MOST_BYTES = 32 << 20  # of runs that a worker remembers, with their ids
 MOST_PAIRS = 200_000  # of pieces whose test a task remembers
-GROUP = 100_000  # characters of new runs that are indexed at once
+GROUP = 400_000  # characters of new runs that are indexed at once
 LONG = 2000  # a longer run is relaxed edge by edge: few others have edges at its later offsets
-WINDOW = 1 << 18  # characters that are hashed at once
+WINDOW = 1 << 20  # characters that are hashed at once
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -398,7 +398,11 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = Vocabulary(model)
 
     def work():
-        encoder = Encoder(vocabulary)
+        # a reused Python worker goes on with what its earlier tasks have learnt, MOST_BYTES and MOST_PAIRS at most
+        import sys
+
+        held = sys.__dict__.setdefault("_siltstone_encoders", {})
+        encoder = held.get(model) or held.setdefault(model, Encoder(vocabulary))
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
