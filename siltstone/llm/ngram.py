@@ -53,7 +53,7 @@ BLOCK, AT_ONCE, LEVELS, DISCOUNT, CHUNK = 128, 2048, 255, 0.75, 1_000_000
 FLOOR = -9.0  # log10 of the smallest probability and back-off weight that is told apart
 STEP, LOWEST = 24 / 65535, 65535  # of answers: log10 in 16 bits, from 0 to -24
 #: Bytes of text for a shard of words and one of n-grams; a task needs about 20 bytes of memory for each of the latter.
-WORD_BYTES, LEAST_WORDS, MOST_WORDS = 256 << 20, 4, 1 << 12
+WORD_BYTES, LEAST_WORDS, MOST_WORDS = 32 << 20, 4, 1 << 16
 SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 8 << 20, 16, 1 << 20
 MOST_CLASSES = 1 << 16
 END = b" end"  # no word holds a space
