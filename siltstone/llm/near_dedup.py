@@ -343,7 +343,8 @@ def linked(records: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFr
     sizes = table(_once(level.groupBy("node").agg(*_contents()).where("_n > 1"), F.col("_n") <= LEAF).select("node", "_n", "_pivot"), "sizes")
     nodes = table(level.join(sizes, "node").join(records, "rec"), "nodes")
     drop(level)
-    # texts are dealt out once, those of records that share a node; all later joins take the few that are left
+    # texts are dealt out once, at every size by a merge join, those of records that share a node; all later joins take
+    # the few that are left
     texts = table(texts.join(nodes.select("rec").distinct().hint("merge"), "rec", "left_semi"), "texts")
     small = _members(nodes.where(F.col("_n") <= LEAF).withColumn("grp", F.lit(0).cast("long")), ["node"])
     pivots = nodes.where((F.col("_n") > LEAF) & (F.col("rec") == F.col("_pivot"))).select("node", F.col("n").alias("_na"), F.col("sig").alias("_sa"))
