@@ -7,11 +7,12 @@ passes over the texts and two shuffles of n-grams, none of which brings back any
    (ascending, Elias-Fano) and exact counts; a word's number is its place in all shards.
 2. Every text is cut into (u, v, w): a token w with the two before it. Texts are handled in chunks of about ``CHUNK``
    tokens, and each different (u, v, w) of a chunk is shipped once, with its number of training occurrences, to the
-   shard of v; so an n-gram that a third of all texts hold is one row a chunk. A shard's task merges what it gets, builds
-   its trie, writes it and maps it into memory, and looks up all n-grams of all chunks in it, in ascending order, so
-   every block is decoded once. Answers go back by chunk and are summed up for each text.
+   shard of v; so an n-gram that a third of all texts hold is one row a chunk. A shard's task takes its contexts in
+   pieces of ``PIECE`` n-grams, merges a piece's n-grams, builds their trie, writes it and maps it into memory, and looks
+   up all n-grams of all chunks in it, in ascending order, so every block is decoded once. A context with more n-grams is
+   a piece of its own and is merged in several goes. Answers go back by chunk and are summed up for each text.
 
-The trie of a shard has, for each level, monotone pointers to where the children of a node begin and keys in which the
+The trie of a piece has, for each level, monotone pointers to where the children of a node begin and keys in which the
 rank of the parent comes first, both Elias-Fano, and values quantised to ``LEVELS`` steps:
 
 * contexts v, with pointers to both levels below and the back-off weight;
@@ -25,7 +26,8 @@ p(w | u v) = max(count(u v w) - D, 0) / count(u v) + b(u v) * p(w | v), p(w | v)
 p(w) = (count(w) + 1) / (N + V + 1); b is the mass not given to successors, so the probabilities of a context sum to one
 but for quantisation, one unknown token included. Where v holds more than a shard's share of all tokens, it is split
 into as many classes of the word before it, and (v, class of u) is the context of the middle level: a hot word has
-several contexts, each with its own counts, and no shard gets more than its share.
+several contexts, each with its own counts, and none has more than a shard's share. Unknown words have no counts, so
+their n-grams may go anywhere and are dealt out by the hash of the word.
 
 Answers are log10 in steps of ``STEP``. Sequences are cut into blocks of ``BLOCK`` values: low parts in whole bytes, high
 parts in unary, and a directory of first values.
@@ -52,9 +54,10 @@ PARTS, OUT = 7, 2
 BLOCK, AT_ONCE, LEVELS, DISCOUNT, CHUNK = 128, 2048, 255, 0.75, 1_000_000
 FLOOR = -9.0  # log10 of the smallest probability and back-off weight that is told apart
 STEP, LOWEST = 24 / 65535, 65535  # of answers: log10 in 16 bits, from 0 to -24
-#: Bytes of text for a shard of words and one of n-grams; a task needs about 20 bytes of memory for each of the latter.
+#: Bytes of text for a shard of words and one of n-grams, and n-grams that a task handles at once. A task holds the n-grams
+#: of its shard in 15 bytes each, several times the mean where frequent contexts meet, and about 300 bytes for each at once.
 WORD_BYTES, LEAST_WORDS, MOST_WORDS = 32 << 20, 4, 1 << 16
-SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 8 << 20, 16, 1 << 20
+SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS, PIECE = 8 << 20, 16, 1 << 20, 1 << 18
 MOST_CLASSES = 1 << 16
 END = b" end"  # no word holds a space
 
@@ -199,8 +202,13 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
     return np.nonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[0] if len(sorted_) else np.zeros(0, np.int64)
 
 
+def _which(sorted_: np.ndarray) -> np.ndarray:
+    """The number of the run that each value is in."""
+    return np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+
+
 def build(context: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> bytes:
-    """A shard's file from its different (context, u, w), ascending, each met ``counts`` times, once at least."""
+    """A piece's file from its different (context, u, w), ascending, each met ``counts`` times, once at least."""
     words = np.unique(np.concatenate([u, w]))
     size = max(len(words), 1)
     ru, rw = np.searchsorted(words, u), np.searchsorted(words, w)
@@ -225,7 +233,7 @@ def build(context: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray)
 
 
 class Shard:
-    """A shard's trie within a memory map."""
+    """A piece's trie within a memory map."""
 
     def __init__(self, data: np.ndarray):
         at = data[:104].view(np.int64)
@@ -240,7 +248,8 @@ class Shard:
         out = np.full(len(parent), -1, np.int64)
         pick = np.nonzero((parent >= 0) & (word >= 0))[0]
         if len(pick):
-            nodes, which = np.unique(parent[pick], return_inverse=True)
+            starts, which = _runs(parent[pick]), _which(parent[pick])
+            nodes = parent[pick][starts]
             begin, end = pointers.take(nodes).astype(np.int64)[which], pointers.take(nodes + 1).astype(np.int64)[which]
             some = pick[begin < end]
             at = keys.find((parent[some] * self.size + word[some]).astype(np.uint64))
@@ -253,8 +262,7 @@ class Shard:
         names, inverse = np.unique(np.concatenate([u, w]), return_inverse=True)
         rank = self.words.find(names.astype(np.uint64))[inverse]
         ru, rw = rank[: len(u)], rank[len(u) :]
-        starts = _runs(context)
-        c = self.contexts.find(context[starts].astype(np.uint64))[np.cumsum(np.bincount(starts, minlength=len(context))) - 1]
+        c = self.contexts.find(context[_runs(context)].astype(np.uint64))[_which(context)]
         pairs, back = np.unique(np.maximum(c, 0) * (self.size + 1) + rw + 1, return_inverse=True)
         place = self._below(self.to_pairs, self.pairs, np.where(pairs % (self.size + 1) > 0, pairs // (self.size + 1), -1), pairs % (self.size + 1) - 1)[back]
         place[c < 0] = -1
@@ -263,9 +271,7 @@ class Shard:
         h, back = np.unique(histories, return_inverse=True)
         node = self._below(self.to_histories, self.histories, np.where(h % (self.size + 1) > 0, h // (self.size + 1), -1), h % (self.size + 1) - 1)[back]
         node[c < 0] = -1
-        order = np.lexsort((rw, node))
-        last = np.empty(len(node), np.int64)
-        last[order] = self._below(self.to_last, self.last, node[order], rw[order])
+        last = self._below(self.to_last, self.last, node, rw)  # those found ascend as the n-grams do
         p = _value(self.p3, last, 0.0) + _value(self.left3, node, 1.0) * p
         return np.log10(np.maximum(p, 1e-300))
 
@@ -344,7 +350,7 @@ def _unplanes(data: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = _runs(keys)
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
@@ -498,16 +504,20 @@ def chunk_grams(flat: np.ndarray, lengths: np.ndarray, trained: np.ndarray, word
     further, back = np.unique(v[hot] * MOST_CLASSES + which, return_inverse=True)
     context = v.copy()
     context[hot] = start + 1 + back
-    key = np.concatenate([numbers * MOST_CLASSES, numbers[further // MOST_CLASSES] * MOST_CLASSES + further % MOST_CLASSES]).astype(np.uint64)
+    spread = np.append(np.where(numbers[:start] == words.v, mix(names) % np.uint64(MOST_CLASSES), 0).astype(np.int64), 0)
+    key = np.concatenate([numbers * MOST_CLASSES + spread, numbers[further // MOST_CLASSES] * MOST_CLASSES + further % MOST_CLASSES]).astype(np.uint64)
     shard = (mix(key) >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64)
-    by = np.lexsort((key, shard))
+    by = np.argsort(key)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    by = np.argsort(shard << 40 | place)  # by shard and key
     at = np.empty(len(by), np.int64)
     at[by] = np.arange(len(by))
     text = np.repeat(np.arange(len(lengths)), lengths)
     bits = int(start + 1).bit_length()
     if int(len(by)).bit_length() + 2 * bits <= 63:
         whole = at[context] << (2 * bits) | u << bits | here
-        order = np.argsort(whole, kind="stable")
+        order = np.argsort(whole)
         begin = _runs(whole[order])
     else:
         order = np.lexsort((here, u, at[context]))
@@ -521,7 +531,7 @@ def chunk_grams(flat: np.ndarray, lengths: np.ndarray, trained: np.ndarray, word
 
 def _counts_of(words: Words, numbers: np.ndarray) -> np.ndarray:
     """Counts of numbers in any order, 0 for unknown words."""
-    order = np.argsort(numbers, kind="stable")
+    order = np.argsort(numbers)
     out = np.empty(len(numbers), np.int64)
     out[order] = words.counts(numbers[order])
     return out
@@ -574,6 +584,33 @@ def _ask(words: Words, shards: int):
     return run
 
 
+def _distinct(context: np.ndarray, u: np.ndarray, w: np.ndarray, times: np.ndarray):
+    """The different n-grams, ascending, with their counts; and for each one given its place among them."""
+    names, of = np.unique(context[_runs(context)], return_inverse=True)
+    of = of[_which(context)]
+    bits = int(max(u.max(), w.max())).bit_length()
+    if len(names).bit_length() + 2 * bits <= 63:
+        grams, of = np.unique(of << 2 * bits | u << bits | w, return_inverse=True)
+        least = (1 << bits) - 1
+        return (names[grams >> 2 * bits], grams >> bits & least, grams & least, np.bincount(of, weights=times, minlength=len(grams))), of
+    local = np.unique(np.concatenate([u, w]))
+    history, of = np.unique(of * len(local) + np.searchsorted(local, u), return_inverse=True)
+    grams, of = np.unique(of * len(local) + np.searchsorted(local, w), return_inverse=True)
+    counts = np.bincount(of, weights=times, minlength=len(grams))
+    history, w = history[grams // len(local)], local[grams % len(local)]
+    return (names[history // len(local)], local[history % len(local)], w, counts), of
+
+
+def _pieces(contexts: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[np.uint64, np.uint64]]:
+    """First and last contexts of pieces that have ``most`` n-grams at most, or one context alone."""
+    names, sizes = _merge(contexts, sizes)
+    ends, k = np.cumsum(sizes), 0
+    while k < len(names):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, "right")))
+        yield names[k], names[to - 1]
+        k = to
+
+
 def _answer(words: Words, keep: bool):
     """Rows (shard, chunk, data), by shard, to rows (chunk, shard, data) with the answers."""
 
@@ -581,51 +618,69 @@ def _answer(words: Words, keep: bool):
         import zstandard
 
         press, unpress, shard = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), None
-        held: list[tuple[int, list[np.ndarray]]] = []
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, contexts, where their n-grams begin, (u, w, count) in 15 bytes
 
-        def add(chunk: int, data: bytes):
+        def add(chunk: int, data: pa.Buffer):
             raw = np.frombuffer(unpress.decompress(data), np.uint8)
             n, m = raw[:16].view(np.int64).tolist()
-            at, parts = 16, []
-            for k, width in ((m, 8), (m, 5), (n, 5), (n, 5), (n, 5)):
-                parts.append(_unplanes(raw[at:], k, width))
-                at += k * width
-            context = np.repeat(parts[0], parts[1].astype(np.int64))
-            held.append((chunk, [context, *(x.astype(np.int64) for x in parts[2:])]))
-
-        def close():
-            context, u, w, times = (np.concatenate([x[i] for _, x in held]) for i in range(4))
-            sizes, chunks = [len(x[0]) for _, x in held], [c for c, _ in held]
-            held.clear()
-            local = np.unique(np.concatenate([u, w]))
-            names, of = np.unique(context, return_inverse=True)
-            history, of = np.unique(of * len(local) + np.searchsorted(local, u), return_inverse=True)
-            grams, of = np.unique(of * len(local) + np.searchsorted(local, w), return_inverse=True)
-            counts = np.bincount(of, weights=times, minlength=len(grams))
-            history, w = history[grams // len(local)], local[grams % len(local)]
-            context, u = names[history // len(local)], local[history % len(local)]
+            sizes = _unplanes(raw[16 + 8 * m :], m, 5).astype(np.int64)
+            held.append((chunk, _unplanes(raw[16:], m, 8), np.append(0, np.cumsum(sizes)), np.ascontiguousarray(raw[16 + 13 * m :].reshape(15, n).T)))
+
+        def grams(part: list[tuple[int, int, int]]) -> list[np.ndarray]:
+            context = np.concatenate([held[k][1][a:b] for k, a, b in part])
+            sizes = np.concatenate([np.diff(held[k][2][a : b + 1]) for k, a, b in part])
+            packed = np.concatenate([held[k][3][held[k][2][a] : held[k][2][b]] for k, a, b in part])
+            out = np.zeros((3, len(packed), 8), np.uint8)
+            out[:, :, :5] = packed.reshape(-1, 3, 5).swapaxes(0, 1)
+            return [np.repeat(context, sizes), *out.view(np.int64)[:, :, 0]]
+
+        def look_up(name: str, context: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
             met = counts > 0
-            _save(words.uri, f"shard-{shard:07d}", built := build(context[met], u[met], w[met], counts[met]))
-            trie = Shard(np.frombuffer(built, np.uint8) if "://" in words.uri else _map(words.uri, f"shard-{shard:07d}"))
+            _save(words.uri, name, built := build(context[met], u[met], w[met], counts[met]))
+            trie = Shard(np.frombuffer(built, np.uint8) if "://" in words.uri else _map(words.uri, name))
             seen, which = np.unique(w, return_inverse=True)
             p = trie.log10(context, u, w, words.low(words.counts(seen))[which])
             if not keep:
-                _forget(words.uri, f"shard-{shard:07d}")
-            steps = np.minimum(np.round(p / -STEP), LOWEST).astype(np.uint16)[of]
-            rows, at = [], 0
-            for c, n in zip(chunks, sizes, strict=True):
-                rows.append((c, shard, press.compress(steps[at : at + n].tobytes())))
-                at += n
+                _forget(words.uri, name)
+            return np.minimum(np.round(p / -STEP), LOWEST).astype(np.uint16)
+
+        def close():
+            answers = [np.empty(len(packed), np.uint16) for _, _, _, packed in held]
+            contexts, sizes = np.concatenate([x[1] for x in held]), np.concatenate([np.diff(x[2]) for x in held])
+            for number, (first, last) in enumerate(_pieces(contexts, sizes, PIECE)):
+                parts, size = [], PIECE  # of the chunks, with PIECE n-grams or one chunk each: more than one part only if the piece is one context
+                for k, (_, names, at, _) in enumerate(held):
+                    a, b = int(names.searchsorted(first)), int(names.searchsorted(last, "right"))
+                    if a < b:
+                        size += int(at[b] - at[a])
+                        if size > PIECE:
+                            parts.append([])
+                            size = int(at[b] - at[a])
+                        parts[-1].append((k, a, b))
+                found, of = _distinct(*grams(parts[0]))
+                for part in parts[1:]:
+                    found, of = _distinct(*(np.concatenate(x) for x in zip(found, grams(part), strict=True)))
+                steps = look_up(f"shard-{shard:07d}-{number:05d}", *found)
+                for part in parts:
+                    if len(parts) > 1:
+                        of = _distinct(*(np.concatenate(x) for x in zip(found, grams(part), strict=True)))[1][len(steps) :]
+                    done = 0
+                    for k, a, b in part:
+                        lo, hi = held[k][2][a], held[k][2][b]
+                        answers[k][lo:hi] = steps[of[done : done + hi - lo]]
+                        done += hi - lo
+            rows = [(x[0], shard, press.compress(steps.tobytes())) for x, steps in zip(held, answers, strict=True)]
+            held.clear()
             for lo in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[lo : lo + 64]], t) for k, t in enumerate([pa.int64(), pa.int32(), pa.binary()])], names=["chunk", "shard", "data"])
 
         for batch in batches:
-            for s, chunk, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for s, chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if s != shard:
                     if held:
                         yield from close()
                     shard = s
-                add(chunk, data)
+                add(chunk, data.as_buffer())
         if held:
             yield from close()
 

@@ -1,12 +1,15 @@
 """Toxicity, language, n-gram scores: gradients, held-out accuracy, brute force, odd rows."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from conftest import sentence
 from siltstone.llm import language, ngram, toxicity
 from siltstone.llm.common import mix
@@ -349,3 +352,48 @@ def test_counts_are_exact_where_numbers_are_close():
     after = {n: (13 - d) / 15, n + 1: (2 - d) / 15}
     want = [(8 - d) / 10 + 2 * d / 10 * after[n], (2 - d) / 10 + 2 * d / 10 * after[n + 1], (5 - d) / 5 + d / 5 * after[n], (1 - d) + d * (1 - d)]
     assert np.allclose(got, want, rtol=0.06)
+
+
+def shipped(rng, chunks, contexts, each):
+    """What the chunks ship to one shard: ``each`` n-grams of every context, many of which other chunks have as well."""
+    keys, rows = np.sort(rng.integers(0, 1 << 60, contexts).astype(np.uint64)), []
+    for chunk in range(chunks):
+        u, w = (np.sort(rng.integers(0, most, (contexts, each)), axis=1).ravel() for most in (40, 1 << 33))
+        w = np.where(rng.random(len(w)) < 0.5, w % 50, w)
+        planes = [ngram._planes(x, 5) for x in (np.full(contexts, each), u, w, rng.integers(0, 3, len(u)))]
+        raw = np.array([len(u), contexts], np.int64).tobytes() + ngram._planes(keys, 8) + b"".join(planes)
+        rows.append({"shard": 0, "chunk": chunk, "data": zstandard.compress(raw, 1)})
+    return pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())]))
+
+
+def answers(batch, folder):
+    out = ngram._answer(ngram.Words(str(folder), 4, {}), False)(iter([batch]))
+    return {r["chunk"]: zstandard.decompress(r["data"]) for b in out for r in b.to_pylist()}
+
+
+def test_memory_of_a_large_shard(tmp_path):
+    """A shard of several times the mean, as where frequent contexts meet, is handled in pieces: under 100 bytes an n-gram."""
+    batch = shipped(np.random.default_rng(6), 50, 50, 1000)
+    tracemalloc.start()
+    try:
+        got = answers(batch, tmp_path)
+        assert tracemalloc.get_traced_memory()[1] < 250e6
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, got.values())) == 2 * 50 * 50 * 1000
+
+
+@pytest.mark.parametrize("piece", [700, 5000])
+def test_pieces_change_no_answer(tmp_path, monkeypatch, piece):
+    """Pieces of several contexts, of one, and contexts that are merged in several goes."""
+    batch = shipped(np.random.default_rng(7), 12, 9, 100)
+    whole = answers(batch, tmp_path)
+    monkeypatch.setattr(ngram, "PIECE", piece)
+    assert answers(batch, tmp_path) == whole and len({*whole.values()}) == 12
+
+
+def test_unknown_words_are_dealt_out(tmp_path):
+    """N-grams after unknown words do not meet in one shard."""
+    flat = np.random.default_rng(8).integers(1, 1 << 63, 20_000).astype(np.uint64)
+    edges = ngram.chunk_grams(flat, np.full(100, 200), np.zeros(100, bool), ngram.Words(str(tmp_path), 4, {}), 16)[2]
+    assert np.diff(edges).max() < 0.25 * len(flat)
