@@ -24,8 +24,8 @@ goes in two phases:
 
 So every candidate pair is either confirmed or refuted on full sets, or lies within a group already. In large nodes,
 records of at most ``WHOLE`` shingles are decided on their full sets at once, longer ones become candidates by their
-tokens as in small nodes; the outcome of both ways is that of the full sets. Groups are joined by min-label propagation
-with pointer jumping, in the cluster; nothing but counts reaches the driver.
+tokens as in small nodes; the outcome of both ways is that of the full sets. Groups are joined in the cluster, in one
+task where links are few, else by min-label propagation with pointer jumping; nothing but counts reaches the driver.
 
 Defined results: null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle
 has are one; null ids sort last (a group of null ids only has a null component_id); repeated rows are copies of one
@@ -35,6 +35,7 @@ another; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ from .exact_dedup import decide
 SHINGLE, STAGE_SHINGLE = 4, 5  # words: the query's contract; the pipeline's stage
 SIMILAR = 80  # per cent
 TOKENS, BRANCH, TREES, LEAF, DEPTH = 64, 3, 4, 64, 4
+ALONE = 1 << 15  # links that one task joins to groups at once; more are dealt out, round by round
 BLOCK, WHOLE = 512, 4096  # records compared at once in a large node; shingles of a text that is decided there
 AGREE = 36
 _MULTIPLY = np.random.default_rng(20240607).integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -277,12 +279,37 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFra
     return good
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``components`` of the links in all batches, by union-find."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+    recs = list(top)
+    yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), pa.array([find(x) for x in recs], pa.int64())], names=["rec", "grp"])
+
+
+def components(edges: DataFrame, alone: int = ALONE) -> DataFrame:
     """(rec, grp): the smallest record reachable, for each record with an edge. Hubs and labels of many records stay on the map side.
 
-    Each round is written and read again: estimates of a checkpointed frame's size would multiply from round to round.
+    At most ``alone`` edges are joined in one task: rounds of joins would cost the driver dozens of jobs and broadcasts for
+    them. Else each round is written and read again: estimates of a checkpointed frame's size would multiply from round to
+    round.
     """
+    edges = table(edges.select("a", "b"), "links")
+    if edges.count() <= alone:
+        labels = table(edges.coalesce(1).mapInArrow(_join_up, "rec long, grp long"), "labels")
+        drop(edges)
+        return labels
     both = table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    drop(edges)
     labels = table(both.groupBy(F.col("a").alias("rec")).agg(F.least(F.min("b"), F.first("a")).alias("grp")), "labels")
     while True:
         near = join_hot(both, labels.withColumnRenamed("rec", "b"), "b").groupBy(F.col("a").alias("rec")).agg(F.min("grp").alias("_near"))

@@ -221,3 +221,24 @@ def test_tokens_estimate_similarity():
     y = np.concatenate([x[:889], rng.integers(0, 1 << 63, 111).astype(np.uint64)])  # 0.8
     rate = np.mean([(near_dedup.tokens_of(np.sort(x ^ np.uint64(k))) == near_dedup.tokens_of(np.sort(y ^ np.uint64(k)))).mean() for k in rng.integers(0, 1 << 62, 60)])
     assert abs(rate - 0.8) < 0.03
+
+
+def test_few_links_are_joined_in_few_jobs(spark):
+    rng = random.Random(9)
+    names = [k * 7 + 1 for k in range(300)]
+    rng.shuffle(names)
+    pairs = [(a, b) for a, b in zip(names[:60], names[1:60]) if names.index(b) % 8] + [(names[200], x) for x in names[201:280]]
+    top = {x: x for pair in pairs for x in pair}
+    for _ in top:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    edges = near_dedup.table(spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long").repartition(4), "test")
+    context = spark.sparkContext
+    context.setJobGroup("few-links", "")
+    got = near_dedup.components(edges)
+    context._jsc.clearJobGroup()
+    assert len(context.statusTracker().getJobIdsForGroup("few-links")) <= 5
+    assert dict(tuple(r) for r in got.collect()) == top
+    assert dict(tuple(r) for r in near_dedup.components(edges, alone=0).collect()) == top
+    for alone in (0, 10):
+        assert near_dedup.components(edges.limit(0), alone).collect() == []

@@ -70,6 +70,25 @@ def test_toxicity_gradients():
             assert abs((up - down) / 2e-6 - grads[k][at]) < 1e-4, k
 
 
+def test_toxicity_training_holds_the_sample_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 1)
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, toxicity.WORDS**2, 40_000).astype(np.uint32) for _ in range(200)]  # 32 MB
+    wide = [r.astype(np.int64) for r in rows[:40]]
+    labels = np.arange(len(rows)) % 2
+    tracemalloc.start()
+    model = toxicity.Model()
+    model.train(rows, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    one, other = toxicity.Model(), toxicity.Model()
+    one.train(rows[:40], labels[:40])
+    other.train(wide, labels[:40])
+    assert all((one.p[k] == other.p[k]).all() for k in one.p)
+
+
 def test_toxicity_does_not_depend_on_order(spark):
     """Shuffled, repeated and conflicting labels and repeated documents give equal scores and thresholds."""
     docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 400")
