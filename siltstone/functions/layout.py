@@ -13,6 +13,8 @@ TARGET_BYTES, LEAST_BYTES, TASKS_PER_CPU = 128 * 1024, 4096, 4
 #: What the writer aims at instead: files that suit a distributed file system.
 FILE_BYTES = 64 << 20
 ITEMS_PER_BUCKET, MOST_BUCKETS = 2000, 1024
+#: Folders of a vector until those are of FILE_BYTES: each costs the driver time, however small its files are.
+MOST_FOLDERS = 64
 
 
 def items_per_shard(n: int, average_bytes: int, cpus: int = 8, target: int = TARGET_BYTES, least: int = LEAST_BYTES) -> int:
@@ -34,6 +36,11 @@ def runs(n: int, size: int) -> list[tuple[int, int]]:
     return [(size, full)] * (full > 0) + [(rest, 1)] * (rest > 0)
 
 
+def shards_per_folder(shards: int, size: int, average_bytes: int = 256) -> int:
+    """Neighbouring shards that share a folder: one while there are few, else as many as keep the folders few, to the size goal."""
+    return max(1, min(-(-shards // MOST_FOLDERS), FILE_BYTES // max(average_bytes * size, 1)))
+
+
 def collapse(sizes: Iterable[int]) -> list[tuple[int, int]]:
     """Run-length code of any shard sizes."""
     out: list[tuple[int, int]] = []

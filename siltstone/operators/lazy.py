@@ -17,7 +17,7 @@ from ..errors import StoreFormatError
 from ..functions import layout
 from ..sources.schema import INLINE, MAP, RECORD, VECTOR, Field, Record
 
-POS, SHARD, KEY, BUCKET, VALUE = "pos", "shard", "k", "bucket", "value"
+POS, SHARD, FOLDER, KEY, BUCKET, VALUE = "pos", "shard", "shard_folder", "k", "bucket", "value"
 
 
 class _Planned:
@@ -105,10 +105,11 @@ NEAR = 10_000
 
 
 class CollectionPromise(_Planned):
-    """An ordered collection: a plan with ``pos``, and ``shard`` where it is stored."""
+    """An ordered collection: a plan with ``pos``, and ``shard`` where it is stored; where shards share folders, with ``shard_folder``, which is only used to prune."""
 
-    def __init__(self, df: DataFrame | Callable[[], DataFrame], spec: Record | None = None, count: int | None = None, shard_items: int | None = None, raw: DataFrame | None = None, order_by: list[str | Column] = ()):
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], spec: Record | None = None, count: int | None = None, shard_items: int | None = None, raw: DataFrame | None = None, order_by: list[str | Column] = (), folder_shards: int = 1):
         super().__init__(df)
+        self.folder_shards = folder_shards
         self.spec, self._count, self.shard_items = spec, count, shard_items
         self._raw, self._order = raw, [F.col(c) if isinstance(c, str) else c for c in order_by]
 
@@ -124,8 +125,16 @@ class CollectionPromise(_Planned):
         top = self._raw.orderBy(*self._order).limit(n)
         return top.withColumn(POS, (F.row_number().over(W.orderBy(*self._order)) - 1).cast("long")).select(POS, *self._raw.columns)
 
+    def _plain(self, df: DataFrame) -> DataFrame:
+        return df.drop(FOLDER) if self.folder_shards > 1 else df
+
+    def _within(self, df: DataFrame, shards: Column, folders: Column) -> DataFrame:
+        """Rows of some shards; the folders they lie in prune partitions."""
+        found = df.where(shards)
+        return found.where(folders) if self.folder_shards > 1 and FOLDER in df.columns else found
+
     def _columns(self, heavy: bool) -> list[str]:
-        rest = [c for c in self.df.columns if c not in (POS, SHARD)]
+        rest = [c for c in self._plain(self.df).columns if c not in (POS, SHARD)]
         return rest if heavy or self.spec is None else [c for c in rest if self.spec.fields[c].kind == INLINE]
 
     def _light(self) -> list[Column]:
@@ -138,8 +147,9 @@ class CollectionPromise(_Planned):
             return self._head(int(max(positions)) + 1).where(wanted)
         found = self.df.where(F.col(POS).isin([int(p) for p in positions]) if len(positions) > 1 else F.col(POS) == int(positions[0]))
         if self.shard_items:
-            found = found.where(F.col(SHARD).isin(sorted({int(p) // self.shard_items for p in positions})))
-        return found
+            shards = sorted({int(p) // self.shard_items for p in positions})
+            found = self._within(found, F.col(SHARD).isin(shards), F.col(FOLDER).isin(sorted({s // self.folder_shards for s in shards})))
+        return self._plain(found)
 
     def scan(self) -> DataFrame:
         """All items in full, with positions; a distributed frame, unordered."""
@@ -229,7 +239,10 @@ class CollectionPromise(_Planned):
     def semi_load(self, keys: DataFrame, *heavy: str) -> DataFrame:
         """Heavy fields at the positions (and shards) of ``keys``, which any plan may have chosen."""
         on = [c for c in (SHARD, POS) if c in keys.columns and c in self.df.columns]
-        return self.df.join(keys.select(*on).distinct(), on, "left_semi").select(POS, *heavy)
+        keys = keys.select(*on).distinct()
+        if self.folder_shards > 1 and SHARD in on and FOLDER in self.df.columns:
+            on, keys = [FOLDER, *on], keys.withColumn(FOLDER, F.floor(F.col(SHARD) / self.folder_shards).cast("int"))
+        return self.df.join(keys, on, "left_semi").select(POS, *heavy)
 
     def slice(self, start: int, stop: int, clamp: bool = True) -> DataFrame:
         """Extension: items of start <= pos < stop; without clamping, a range beyond the end raises."""
@@ -239,13 +252,14 @@ class CollectionPromise(_Planned):
             return self._head(stop).where((F.col(POS) >= start) & (F.col(POS) < stop)).select(POS, *[c for c in self._raw.columns])
         found = self.df.where((F.col(POS) >= start) & (F.col(POS) < stop))
         if self.shard_items:
-            found = found.where((F.col(SHARD) >= start // self.shard_items) & (F.col(SHARD) <= max(stop - 1, start) // self.shard_items))
+            first, last = start // self.shard_items, max(stop - 1, start) // self.shard_items
+            found = self._within(found, F.col(SHARD).between(first, last), F.col(FOLDER).between(first // self.folder_shards, last // self.folder_shards))
         return found.select(POS, *self._columns(True))
 
     def shards(self, size: int | None = None) -> DataFrame:
         """Shard and place of every position."""
         size = size or self.shard_items or layout.items_per_shard(len(self), 64)
-        return self.df.select("*", layout.shard_index(F.col(POS), size).alias("shard_idx"), (F.col(POS) % size).alias("local_idx"))
+        return self._plain(self.df).select("*", layout.shard_index(F.col(POS), size).alias("shard_idx"), (F.col(POS) % size).alias("local_idx"))
 
     def element(self, field: str, i: int) -> Column:
         """An element of a nested vector of each item; null beyond its end."""

@@ -12,6 +12,7 @@ import io
 import json
 import uuid
 import zipfile
+from collections.abc import Collection
 from dataclasses import dataclass, field, replace
 from functools import partial
 from typing import Any, BinaryIO
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from ..errors import StoreCodecError, StoreDecodeError, StoreError, StoreFormatError, StoreInternalError, StoreIOError
 from ..functions import layout
 from ..functions.codec import CodecTable, HookTable
-from ..operators.lazy import BUCKET, KEY, POS, SHARD, CollectionPromise, MapPromise, RecordMirror, ValuePromise
+from ..operators.lazy import BUCKET, FOLDER, KEY, POS, SHARD, CollectionPromise, MapPromise, RecordMirror, ValuePromise
 from ..operators.lazy import VALUE as VALUE_COLUMN
 from ..operators.positions import with_positions
 from .schema import INLINE, MAP, RECORD, VALUE, VECTOR, Field, Record, from_json, to_json
@@ -32,6 +33,7 @@ from .shared import Files, checkpoint
 
 MAGIC, VERSION, MANIFEST = "SILT", 4, "manifest.json"
 MOST_BYTES = 1 << 30  # of a record that is serialised on the driver
+PAGE_ROWS = 20_000  # Parquet's own limit
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,9 @@ class _Plan:
             if cut and cut not in df.columns:
                 raise StoreFormatError(f"{node['path']}: hook {hook!r} has to keep {cut}")
         node["schema"] = T.StructType([x for x in df.schema if x.name != cut]).json()
+        if node["kind"] == VECTOR and FOLDER not in df.columns:
+            shards = sum(repeat for _, repeat in node["runs"])
+            node["folder_shards"] = layout.shards_per_folder(shards, node["shard_items"])
         self.frames[k] = df
 
     def vector(self, f: Field, value: Any, me: int, k: int, where: str) -> None:
@@ -145,6 +150,18 @@ class _Plan:
         return f"{first}, {rest}"
 
 
+def _cut(node: dict) -> str | None:
+    """The partition column of a node's table."""
+    return {VECTOR: FOLDER if node.get("folder_shards", 1) > 1 else SHARD, MAP: BUCKET}.get(node["kind"])
+
+
+def _folders(node: dict) -> Collection[int | str]:
+    """The values of the partition column, by the manifest."""
+    if node["kind"] == MAP:
+        return node["filled"]
+    return range(-(-sum(repeat for _, repeat in node["runs"]) // node.get("folder_shards", 1)))
+
+
 def manifest_of(spec: Record, nodes: list[dict]) -> dict:
     return {"magic": MAGIC, "format_version": VERSION, "schema": to_json(spec), "nodes": nodes}
 
@@ -162,11 +179,15 @@ def save(spark: SparkSession, path: str, spec: Record, values: dict[str, Any], o
                 df = df.coalesce(1)
             elif node["kind"] == MAP and node["num_buckets"]:
                 df = df.repartition(node["num_buckets"], BUCKET)
-            order = [c for c in {MAP: [BUCKET, KEY], VECTOR: [POS]}.get(node["kind"], []) if c in df.columns]
+            cut = _cut(node)
+            if cut == FOLDER:
+                df = df.withColumn(FOLDER, F.floor(F.col(SHARD) / node["folder_shards"]).cast("int"))
+            order = [c for c in {MAP: [BUCKET, KEY], VECTOR: [cut, POS]}.get(node["kind"], []) if c in df.columns]
             if order:
                 df = df.sortWithinPartitions(*order)
             writer = df.write.option("compression", node["parquet"])
-            cut = {MAP: BUCKET, VECTOR: SHARD}.get(node["kind"])
+            if cut == FOLDER:
+                writer = writer.option("parquet.page.row.count.limit", min(node["shard_items"], PAGE_ROWS))  # a point read is to skip other shards
             (writer.partitionBy(cut) if cut else writer).parquet(f"{new}/{node['path']}")
         files.write(f"{new}/{MANIFEST}", json.dumps(manifest_of(spec, plan.nodes)).encode())
     except BaseException:
@@ -316,18 +337,18 @@ class Store:
     def table(self, node: dict) -> DataFrame:
         """The plan of a node's table: no data is read yet, but its folder is held against the manifest."""
         df = self._tables[node["node_id"]] if self._tables is not None else self._files_of(node)
-        return self.hooks.get(node["hook"])[1](df) if "hook" in node else df
+        return self.hooks.get(node["hook"])[1](df.drop(FOLDER) if _cut(node) == FOLDER else df) if "hook" in node else df
 
     def _files_of(self, node: dict) -> DataFrame:
-        cut = {VECTOR: SHARD, MAP: BUCKET}.get(node["kind"])
+        cut = _cut(node)
         schema = T.StructType.fromJson(json.loads(node["schema"]))
-        if cut:
-            schema = schema.add(cut, T.IntegerType())
+        for column in (SHARD, FOLDER) if cut == FOLDER else (cut,) if cut else ():
+            schema = schema.add(column, T.IntegerType())
         if not node["item_count"]:
             return self.spark.createDataFrame([], schema)
         where = f"{self.path}/{node['path']}"
         found = set(Files(self.spark).names(where))
-        missing = [x for x in self._parts(node) if f"{cut}={x}" not in found] if cut else [] if found else [node["path"]]
+        missing = [x for x in _folders(node) if f"{cut}={x}" not in found] if cut else [] if found else [node["path"]]
         if missing:
             raise StoreFormatError(f"{node['path']}: {len(missing)} parts are missing, {missing[0]} the first")
         return self.spark.read.schema(schema).parquet(where)
@@ -390,7 +411,7 @@ class Store:
             if f.kind == RECORD:
                 promises[name] = self._mirror(f.type, below)
             elif f.kind == VECTOR:
-                promises[name] = CollectionPromise(partial(self.table, child), inner, child["item_count"], child["shard_items"])
+                promises[name] = CollectionPromise(partial(self.table, child), inner, child["item_count"], child["shard_items"], folder_shards=child.get("folder_shards", 1))
             elif f.kind == MAP:
                 promises[name] = MapPromise(partial(self.table, child), inner, child["num_buckets"], child["item_count"])
             elif f.kind != VALUE:
@@ -407,7 +428,8 @@ class Store:
         """The table at a path such as ``root.users``: the eager load of a large field."""
         if path not in self.at or "inline" in self.at[path]:
             raise StoreFormatError(f"no table at {path}")
-        return self.table(self.at[path])
+        df = self.table(self.at[path])
+        return df.drop(FOLDER) if _cut(self.at[path]) == FOLDER else df
 
     # --- nodes ---
 

@@ -275,3 +275,52 @@ def test_over_any_frame(spark):
     c = CollectionPromise.of(df, ["id"])
     assert c.get(10) == {"id": 10} and len(c) == 1000
     assert MapPromise.of(spark.range(5).selectExpr("id", "id * 2 as v"), "id").get(3) == {"v": 6}
+
+
+def _many_shards(spark, path, n=20_000, size=10, **more):
+    rows = Items(spark.range(n).selectExpr("id * 3 as a", "cast(id as string) as b"), ["a"])
+    keys = Items(spark.range(n).selectExpr("id * 7 as value"), ["value"])
+    save(spark, path, record("M", items=vector(record("I", a=inline("bigint"), b=chunk("string"))), keys=vector("bigint")), {"items": rows, "keys": keys}, Options(shard_items=size, **more))
+    return path
+
+
+def test_many_shards_share_folders(spark, tmp_path):
+    """Folders and files don't grow with the number of shards; what is read does not change by it."""
+    path = _many_shards(spark, str(tmp_path / "m"))
+    assert len([x for x in (tmp_path / "m" / "root.items").iterdir() if x.is_dir()]) <= layout.MOST_FOLDERS
+    assert len(list((tmp_path / "m" / "root.items").rglob("*.parquet"))) <= layout.MOST_FOLDERS + 8
+    store = Store.open(spark, path)
+    items = store.root().items
+    assert items.scan().columns == ["pos", "a", "b"] and items.items().columns == ["a", "b"] and items.lazy().columns == ["pos", "shard", "a"]
+    assert [tuple(r) for r in items.scan().orderBy("pos").collect()] == [(i, i * 3, str(i)) for i in range(20_000)]
+    assert store.df("root.items").columns == items.at(3).columns == ["pos", "a", "b", "shard"] and items.shards().columns == ["pos", "a", "b", "shard", "shard_idx", "local_idx"]
+    assert [tuple(r) for r in items.at(12_345).collect()] == [(12_345, 37_035, "12345", 1234)] and {r.shard for r in items.at(0, 9, 19_999).collect()} == {0, 1999}
+    assert [r.pos for r in items.slice(315, 335).orderBy("pos").collect()] == list(range(315, 335)) and items.get_lazy(777).b.load() == "777"
+    assert {r.b for r in items.semi_load(items.lazy().where("a % 15000 = 3"), "b").collect()} == {"1", "5001", "10001", "15001"}
+    assert items.load()[19_999] == {"a": 59_997, "b": "19999"} and store.root().keys.get(15_000) == 105_000 and [store.at["root.items"]["runs"]] == [[[10, 2000]]]
+    wide = items.at(12_345)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard_folder" in wide or "PartitionFilters: [shard_folder" in wide
+    assert 0 < _rows_read(spark, items.at(12_345)) <= 10 and 0 < _rows_read(spark, items.slice(315, 335)) < 320
+
+
+def test_missing_parts_among_many(spark, tmp_path):
+    path = _many_shards(spark, str(tmp_path / "m"), 1003, 5)
+    folders = {int(x.name.rsplit("=", 1)[1]): x for x in (tmp_path / "m" / "root.items").iterdir() if x.is_dir()}
+    assert sorted(folders) == list(range(51))
+    checked = Store.open(spark, path).verify()
+    assert checked.where("not ok").isEmpty() and sorted((r.part, r.expected, r.found) for r in checked.where("path = 'root.items'").collect()) == [(k, 5 if k < 200 else 3, 5 if k < 200 else 3) for k in range(201)]
+    for f in folders[2].glob("*.parquet"):
+        f.unlink()
+    store = Store.open(spark, path)
+    assert sorted((r.path, r.part, r.found) for r in store.verify().where("not ok").collect()) == [("root.items", k, 0) for k in range(8, 12)]
+    with pytest.raises(StoreFormatError):
+        store.root().items.load()
+    shutil.rmtree(folders[2])
+    with pytest.raises(StoreFormatError):
+        Store.open(spark, path).root().items.scan()
+
+
+def test_folders_of_shards():
+    """One each while few, then few, then as many as the bytes ask for."""
+    assert [layout.shards_per_folder(n, 1000) for n in (0, 1, 64, 65, 9000, 54_000, 10**6)] == [1, 1, 1, 2, 141, 262, 262]
+    assert layout.shards_per_folder(10**6, 10**6) == 1
