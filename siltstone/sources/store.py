@@ -353,12 +353,15 @@ class Store:
             raise StoreFormatError(f"{node['path']}: {len(missing)} parts are missing, {missing[0]} the first")
         return self.spark.read.schema(schema).parquet(where)
 
-    def _parts(self, node: dict) -> dict[str, int]:
-        """Rows of each shard or bucket that has any, by the manifest."""
-        if node["kind"] == MAP:
-            return node["filled"]
-        sizes = [items for items, n in node["runs"] for _ in range(n)]
-        return {str(k): n for k, n in enumerate(sizes)}
+    def _expected(self, node: dict) -> DataFrame:
+        """part, expected: rows of each shard or bucket that has any, by the manifest; shards are not listed on the driver."""
+        if node["kind"] != VECTOR:
+            return self.spark.createDataFrame([(int(k), n) for k, n in node.get("filled", {"0": 1}).items()], "part int, expected long")
+        out, first = self.spark.createDataFrame([], "part int, expected long"), 0
+        for items, repeat in node["runs"]:
+            run = self.spark.range(first, first + repeat).select(F.col("id").cast("int").alias("part"), F.lit(items).cast("long").alias("expected"))
+            out, first = out.union(run) if first else run, first + repeat
+        return out
 
     def verify(self) -> DataFrame:
         """path, part, expected, found, ok: the rows of every shard, bucket and value against the manifest."""
@@ -367,8 +370,7 @@ class Store:
             if "inline" in node:
                 continue
             cut = {VECTOR: SHARD, MAP: BUCKET}.get(node["kind"])
-            want = self._parts(node) if cut else {"0": 1}
-            expected = self.spark.createDataFrame([(int(k), n) for k, n in want.items()], "part int, expected long")
+            expected = self._expected(node)
             df = self._tables[node["node_id"]] if self._tables is not None else self._files_of(node)
             counted = df.groupBy((F.col(cut) if cut else F.lit(0)).cast("int").alias("part")).agg(F.count("*").alias("found"))
             both = expected.join(counted, "part", "full").select(F.lit(node["path"]).alias("path"), "part", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))

@@ -320,6 +320,14 @@ def test_missing_parts_among_many(spark, tmp_path):
         Store.open(spark, path).root().items.scan()
 
 
+def test_verify_lists_no_shards_on_the_driver(spark, tmp_path, monkeypatch):
+    store, made, create = Store.open(spark, _many_shards(spark, str(tmp_path / "m"), 2000, 5)), [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(len(data)) or create(self, data, *a, **k))
+    checked = store.verify()
+    assert checked.dtypes == [("path", "string"), ("part", "int"), ("expected", "bigint"), ("found", "bigint"), ("ok", "boolean")]
+    assert checked.where("ok").count() == 800 and max(made) <= 1
+
+
 def test_folders_of_shards():
     """One each while few, then few, then as many as the bytes ask for."""
     assert [layout.shards_per_folder(n, 1000) for n in (0, 1, 64, 65, 9000, 54_000, 10**6)] == [1, 1, 1, 2, 141, 262, 262]
