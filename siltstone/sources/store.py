@@ -181,7 +181,9 @@ def save(spark: SparkSession, path: str, spec: Record, values: dict[str, Any], o
                 df = df.repartition(node["num_buckets"], BUCKET)
             cut = _cut(node)
             if cut == FOLDER:
-                df = df.withColumn(FOLDER, F.floor(F.col(SHARD) / node["folder_shards"]).cast("int"))
+                df = df.withColumn(SHARD, F.col(SHARD).cast("int")).withColumn(FOLDER, F.floor(F.col(SHARD) / node["folder_shards"]).cast("int"))
+                if options.parallel and "hook" in node:  # its rows may lie anywhere now: one task and file for each folder
+                    df = df.repartitionById(len(_folders(node)), FOLDER)
             order = [c for c in {MAP: [BUCKET, KEY], VECTOR: [cut, POS]}.get(node["kind"], []) if c in df.columns]
             if order:
                 df = df.sortWithinPartitions(*order)

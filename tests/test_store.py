@@ -5,6 +5,8 @@ import json
 import shutil
 
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from siltstone import Builder, Items, Options, Store, StoreCodecError, StoreDecodeError, StoreFormatError, StoreIOError, chunk, inline, keyed_map, load_bytes, record, save, save_sync, serialize, vector, write
 from siltstone.functions import layout
@@ -328,6 +330,18 @@ def test_verify_lists_no_shards_on_the_driver(spark, tmp_path, monkeypatch):
     assert checked.where("ok").count() == 800 and max(made) <= 1
 
 
+def test_hooked_shards_share_files(spark, tmp_path):
+    """A hook that deals rows out anew must not give every task a file in every folder."""
+    seen, hooks = [], HookTable()
+    order = W.partitionBy("shard").orderBy("pos")
+    hooks.register("differences", lambda df: df.withColumns({"value": F.col("value") - F.lag("value", 1, 0).over(order), "shard": F.col("shard").cast("bigint")}), lambda df: seen.append(df.columns) or df.withColumn("value", F.sum("value").over(order)))
+    path = _many_shards(spark, str(tmp_path / "h"), 3000, 10, hooks=hooks, hook_of={"root.keys": "differences"})
+    keys = Store.open(spark, path, hooks=hooks).root().keys
+    assert len(list((tmp_path / "h" / "root.keys").rglob("*.parquet"))) == 60
+    assert [(r.pos, r.value) for r in keys.scan().orderBy("pos").collect()] == [(i, i * 7) for i in range(3000)] and keys.get(2999) == 20_993
+    assert all(columns == ["pos", "value", "shard"] for columns in seen)  # what the hook had put out
+
+
 def test_folders_of_shards():
     """One each while few, then few, then as many as the bytes ask for."""
     assert [layout.shards_per_folder(n, 1000) for n in (0, 1, 64, 65, 9000, 54_000, 10**6)] == [1, 1, 1, 2, 141, 262, 262]
