@@ -134,11 +134,13 @@ class _Plan:
             key = Field(INLINE, f.key).spark_type().simpleString()
             df = self.spark.createDataFrame([(a, *self._cells(f, b)) for a, b in value.items()], self._schema(f, f"{KEY} {key}"))
         n = df.count()
-        if not df.groupBy(KEY).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
-            raise StoreFormatError(f"{where}: a key occurs more than once")
         buckets = self.options.buckets if self.options.buckets and n else layout.num_buckets(n)
+        keys = df.groupBy(KEY).agg(F.count("*").alias("_n"))
+        found = keys.groupBy(layout.bucket(F.col(KEY), buckets).alias(BUCKET)).agg(F.count("*").alias("n"), F.max("_n").alias("most")).collect()  # MOST_BUCKETS rows at most
+        if any(r["most"] > 1 for r in found):
+            raise StoreFormatError(f"{where}: a key occurs more than once")
+        filled = {str(r[BUCKET]): r["n"] for r in found}
         df = df.withColumn(BUCKET, layout.bucket(F.col(KEY), buckets))
-        filled = {str(r[BUCKET]): r["n"] for r in df.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()}  # MOST_BUCKETS rows at most
         self.keep(self.node(me, k, where, MAP, f.codec, item_count=n, num_buckets=buckets, filled=filled), df, BUCKET)
 
     def _cells(self, f: Field, v: Any) -> tuple:

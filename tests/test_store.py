@@ -346,3 +346,18 @@ def test_folders_of_shards():
     """One each while few, then few, then as many as the bytes ask for."""
     assert [layout.shards_per_folder(n, 1000) for n in (0, 1, 64, 65, 9000, 54_000, 10**6)] == [1, 1, 1, 2, 141, 262, 262]
     assert layout.shards_per_folder(10**6, 10**6) == 1
+
+
+def test_keys_of_a_map_are_counted_once(spark, tmp_path):
+    """Repeated keys and the sizes of buckets come from one job over the keys, of null and odd keys too."""
+    frame = spark.range(5000).selectExpr("if(id = 0, null, if(id = 1, double('nan'), if(id = 2, -0.0, id / 7))) as k", "id as value")
+    spark.sparkContext.setJobGroup("keys", "")
+    save(spark, str(tmp_path / "k"), record("K", m=keyed_map("double", "bigint")), {"m": frame}, Options(buckets=4))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("keys"))
+    spark.sparkContext.setJobGroup("", "")
+    store = Store.open(spark, str(tmp_path / "k"))
+    assert jobs <= 8 and sum(store.at["root.m"]["filled"].values()) == 5000 and store.verify().where("not ok").isEmpty()
+    assert store.root().m.get(1.0) == 7 and store.root().m.get(0.0) == 2 and store.root().m.find(float("nan")).count() == 1
+    for again in ("cast(null as double)", "double('nan')", "0.0"):
+        with pytest.raises(StoreFormatError):
+            save(spark, str(tmp_path / "l"), record("K", m=keyed_map("double", "bigint")), {"m": frame.union(spark.sql(f"select {again}, 1L"))}, Options(buckets=4))
